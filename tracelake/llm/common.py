@@ -60,6 +60,14 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def one_an_id(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) rows with unique ids: null ids left out, of rows with one id the smallest text. Texts move only if an id repeats."""
+    docs = docs.where("doc_id is not null")
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+    return docs
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without nulls, starting at offset 0."""
     if isinstance(column, pa.ChunkedArray):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, packing, quality_rules, token_counts
+from . import byte_bpe, fingerprints, packing, quality_rules, substring_dedup, suffix_dedup, token_counts
 from .common import table
 
 
@@ -13,10 +13,18 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_next(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.query(spark, sf_dir)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.query(spark, sf_dir)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -31,5 +39,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_token_counts, op6_byte_bpe, op7_quality_rules, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op3_token_counts, op5_substring_dedup, op6_byte_bpe, op7_quality_rules, op9_packing)}
 ORACLE: dict[str, str] = {}
