@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, packing, quality_rules, substring_dedup, suffix_dedup, token_counts
+from . import byte_bpe, fingerprints, line_dedup, packing, quality_rules, substring_dedup, suffix_dedup, token_counts
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.query(spark, sf_dir)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.query(spark, sf_dir)
 
@@ -39,5 +43,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op3_token_counts, op5_substring_dedup, op6_byte_bpe, op7_quality_rules, op9_packing)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op3_token_counts, op4_line_dedup, op5_substring_dedup, op6_byte_bpe, op7_quality_rules, op9_packing)}
+ORACLE: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE_SQL}
