@@ -19,6 +19,7 @@ on the driver and no pairs of occurrences are made.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -37,7 +38,7 @@ _GATHER = 8
 
 @dataclass(frozen=True)
 class Runs:
-    """Arrays over the runs of a slice: text index, names, first and last window start; base: where each text begins."""
+    """Arrays over the runs of a slice: text index, names, first and last window start; base: where each text begins; lag: from the first start to the anchor."""
 
     owner: np.ndarray
     key: np.ndarray
@@ -45,6 +46,7 @@ class Runs:
     first: np.ndarray
     last: np.ndarray
     base: np.ndarray
+    lag: np.ndarray
 
 
 @dataclass(frozen=True)
@@ -55,6 +57,9 @@ class Kind:
     windows: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
     size: int
     earlier: bool
+    #: Where not 0, a round between: starts are taken in steps of this many from the anchor, and what all windows of
+    #: a step have in common is ranked before the windows themselves. For data whose symbols are bytes.
+    step: int = 0
 
 
 def _tag(key: str):
@@ -64,8 +69,10 @@ def _tag(key: str):
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps that are over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def least_in_window(value: np.ndarray, width: int) -> np.ndarray:
@@ -116,11 +123,11 @@ def runs_of(anchor: np.ndarray, start: np.ndarray, owner: np.ndarray, key: np.nd
     """Neighbouring window starts with one anchor, named."""
     if not len(start):
         z = np.zeros(0, np.int64)
-        return Runs(z, z.astype(_U), z.astype(_U), z, z, base)
+        return Runs(z, z.astype(_U), z.astype(_U), z, z, base, z)
     cut = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1))))
     end = np.append(cut[1:], len(start)) - 1
     a, first, last = anchor[cut], start[cut], start[end]
-    return Runs(owner[cut], key[a], values.name(first, last + size, a - first), first, last, base)
+    return Runs(owner[cut], key[a], values.name(first, last + size, a - first), first, last, base, a - first)
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -182,30 +189,60 @@ def repeated_starts(docs: DataFrame, kind: Kind) -> DataFrame:
             at = _once_a_text(r)
             if len(at):
                 own = r.owner[at]
-                columns = [_signed(r.ctx[at]), pa.array((r.key[at] & _U(0x7FFFFFFF)).astype(np.int32)), pa.array(_ids(batch)[own]), pa.array((r.first[at] - r.base[own]).astype(np.int32)), pa.array((r.last[at] - r.first[at]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["ctx", "tag", "doc_id", "a", "more"])
+                columns = [_signed(r.ctx[at]), pa.array((r.key[at] & _U(0x7FFFFFFF)).astype(np.int32)), pa.array(_ids(batch)[own]), pa.array((r.first[at] - r.base[own]).astype(np.int32)), pa.array((r.last[at] - r.first[at]).astype(np.int32)), pa.array(r.lag[at].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["ctx", "tag", "doc_id", "a", "more", "lag"])
 
-    found = docs.mapInArrow(places, "ctx long, tag int, doc_id long, a int, more int").join(counted, ["ctx", "tag"])
+    found = docs.mapInArrow(places, "ctx long, tag int, doc_id long, a int, more int, lag int").join(counted, ["ctx", "tag"])
     whole = F.col("lead") < F.col("doc_id") if earlier else F.col("n") > 1
-    found = stored(found.select("doc_id", "a", (F.col("a") + F.col("more")).alias("b"), whole.alias("whole"), (F.col("open") & (F.col("lead") == F.col("doc_id"))).alias("lead")).where("whole or lead"), "runs")
+    found = stored(found.select("doc_id", "a", (F.col("a") + F.col("more")).alias("b"), "lag", whole.alias("whole"), (F.col("open") & (F.col("lead") == F.col("doc_id"))).alias("lead")).where("whole or lead"), "runs")
     release(spark)
 
-    leads = found.where("lead").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    leads = found.where("lead").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "lag")).alias("spans"))
 
     def compared(batches):
         for batch in steps(batches):
             data, offs = buffers(batch.column("text"))
-            spans = batch.column("spans")
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(spans.offsets)))
-            flat = spans.flatten()
-            a, b = (np.asarray(flat.field(k)).astype(np.int64) for k in (0, 1))
+            owner, a, b, _ = _flat(batch.column("spans"))
             count = b - a + 1
             start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)
             owner = np.repeat(owner, count)
             x, y = windows(data, offs, owner, start)
             yield pa.RecordBatch.from_arrays([_signed(x), _signed(y), pa.array(_ids(batch)[owner]), pa.array(start.astype(np.int32))], ["x", "y", "doc_id", "a"])
 
-    named = docs.join(leads, "doc_id").select("doc_id", "text", "spans").mapInArrow(compared, "x long, y long, doc_id long, a int")
+    def cores(batches):
+        for batch in steps(batches):
+            data, offs = buffers(batch.column("text"))
+            owner, a, b, lag = _flat(batch.column("spans"))
+            least, most = (a + lag - b) // kind.step, lag // kind.step
+            count = most - least + 1
+            k = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(least, count)
+            owner, a, b, anchor = (np.repeat(x, count) for x in (owner, a, b, a + lag))
+            near, far = anchor - kind.step * k, anchor - kind.step * k - kind.step + 1
+            lo, hi, at = np.maximum(a, far), np.minimum(b, near), offs[owner]
+            value = Stretches(words.byte_values(9, True)[data])
+            core = value.name(at + near, at + far + size, k)
+            cut = hi - lo + size
+            flat = data[np.arange(int(cut.sum())) - np.repeat(np.cumsum(cut) - cut, cut) + np.repeat(at + lo, cut)]
+            part = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(cut))).astype(np.int64)), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([_signed(core), pa.array(_ids(batch)[owner]), pa.array(lo.astype(np.int32)), part.cast(pa.binary())], ["core", "doc_id", "a", "text"])
+
+    def opened(batches):
+        for batch in steps(batches):
+            data, offs = buffers(batch.column("text"))
+            count = np.diff(offs) - size + 1
+            owner = np.repeat(np.arange(batch.num_rows), count)
+            start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            x, y = windows(data, offs, owner, start)
+            a = batch.column("a").to_numpy()[owner] + start
+            yield pa.RecordBatch.from_arrays([_signed(x), _signed(y), pa.array(_ids(batch)[owner]), pa.array(a.astype(np.int32))], ["x", "y", "doc_id", "a"])
+
+    named = docs.join(leads, "doc_id").select("doc_id", "text", "spans")
+    schema = "x long, y long, doc_id long, a int"
+    if kind.step:
+        named = named.mapInArrow(cores, "core long, doc_id long, a int, text binary").withColumn("k", F.count("*").over(Window.partitionBy("core"))).where("k > 1").drop("k")
+        named = named.mapInArrow(opened, schema)
+    else:
+        named = named.mapInArrow(compared, schema)
     pair = Window.partitionBy("x", "y")
     if earlier:
         single = named.withColumn("k", F.row_number().over(pair.orderBy("doc_id", "a"))).where("k > 1")
@@ -217,6 +254,13 @@ def repeated_starts(docs: DataFrame, kind: Kind) -> DataFrame:
     return both.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
+def _flat(spans: pa.Array) -> tuple[np.ndarray, ...]:
+    """(row, a, b, lag) of every span."""
+    owner = np.repeat(np.arange(len(spans)), np.diff(np.asarray(spans.offsets)))
+    flat = spans.flatten()
+    return owner, *(np.asarray(flat.field(k)).astype(np.int64) for k in range(3))
+
+
 def covered(spans: pa.Array, base: np.ndarray, size: int, total: int, local: Runs) -> np.ndarray:
     """Whether each symbol lies in a repeated window: given spans (relative to their text), and runs that a text repeats itself."""
     edge = np.zeros(total + 1, np.int64)
@@ -240,4 +284,4 @@ def own_repeats(r: Runs) -> Runs:
     with np.errstate(over="ignore"):
         k = words.mix(r.ctx + words.mix(r.owner.astype(_U) + _U(1)))
     again[np.unique(k, return_index=True)[1]] = False
-    return Runs(r.owner[again], r.key[again], r.ctx[again], r.first[again], r.last[again], r.base)
+    return Runs(r.owner[again], r.key[again], r.ctx[again], r.first[again], r.last[again], r.base, r.lag[again])

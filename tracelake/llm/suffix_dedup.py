@@ -9,7 +9,9 @@ equal for equal bytes everywhere. Positions leave as soon as their rank is uniqu
   positions, one in 35, go through Spark's first ranking;
 * a gram found once drops all strings tied to it; strings around a gram that are
   alike as a whole are settled together;
-* what is left is ranked position by position: Spark sorts the pairs (rank of the
+* the positions around what is left are taken in steps of ``size`` // 6, and what
+  the strings of a step have in common (5 / 6 of ``size``) is ranked next;
+* what is left then is ranked position by position: Spark sorts the pairs (rank of the
   first half, rank of the second half) with the place, and all but the first
   place of a pair are covered.
 """
@@ -68,7 +70,7 @@ def _kind(size: int) -> Kind:
                 rank[1] = words.mix(rank[1] + s.name(at + 2 * half, at + size, zero))
         return rank[0], rank[1]
 
-    return Kind(runs, windows, size, True)
+    return Kind(runs, windows, size, True, size // 6)
 
 
 def suffix_dedup(docs: DataFrame, size: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
