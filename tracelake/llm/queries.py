@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, line_dedup, packing, quality_rules, substring_dedup, suffix_dedup, token_counts
+from . import byte_bpe, fingerprints, jaccard_join, line_dedup, packing, quality_rules, substring_dedup, suffix_dedup, token_counts
 from .common import table
 
 
@@ -39,9 +39,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.query(spark, sf_dir)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op3_token_counts, op4_line_dedup, op5_substring_dedup, op6_byte_bpe, op7_quality_rules, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op3_token_counts, op4_line_dedup, op5_substring_dedup, op6_byte_bpe, op7_quality_rules, op8_jaccard_join, op9_packing)}
 ORACLE: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE_SQL}
