@@ -31,7 +31,7 @@ SEGMENT = 64
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, pos, line) of lines that are long enough to be compared."""
-    line = F.regexp_replace("col", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    line = F.btrim("col", F.lit(" \t\n\x0b\x0c\r"))
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)))
     return rows.select("doc_id", "pos", line.alias("line")).where(F.length("line") >= min_chars)
 

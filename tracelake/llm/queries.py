@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, jaccard_join, line_dedup, packing, quality_rules, substring_dedup, suffix_dedup, token_counts
+from . import byte_bpe, fingerprints, html_text, jaccard_join, line_dedup, packing, quality_rules, substring_dedup, suffix_dedup, token_counts
 from .common import table
 
 
@@ -47,5 +47,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op3_token_counts, op4_line_dedup, op5_substring_dedup, op6_byte_bpe, op7_quality_rules, op8_jaccard_join, op9_packing)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.query(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op3_token_counts, op4_line_dedup, op5_substring_dedup, op6_byte_bpe, op7_quality_rules, op8_jaccard_join, op9_packing, op10_html_text)}
 ORACLE: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE_SQL}
