@@ -5,7 +5,7 @@ a vector: its tag path and class words, hashed, its own words, hashed, and a few
 measures. A bidirectional LSTM in numpy reads the whole sequence both ways and
 labels every block as article or not. It is trained here, by gradient descent on
 pages that ``sample_page`` makes from nested templates with known labels; the
-weights are fitted once a worker from a fixed seed, in about a second, and are the
+weights are fitted once a worker from a fixed seed, in a few seconds, and are the
 same everywhere.
 """
 
@@ -122,8 +122,8 @@ def vectors(blocks) -> np.ndarray:
             for w in names.replace("-", " ").replace("_", " ").split():
                 x[i, _slot("c:" + w, PATH_SLOTS)] = 1
         words = text.split()
-        for w in words[:50]:
-            x[i, PATH_SLOTS + _slot("w:" + w.lower(), WORD_SLOTS)] += 1 / min(50, len(words))
+        for w in words[:16]:
+            x[i, PATH_SLOTS + _slot("w:" + w.lower(), WORD_SLOTS)] += 1 / min(16, len(words))
         x[i, PATH_SLOTS + WORD_SLOTS :] = (min(1, len(text) / 400), min(1, len(words) / 60), links / max(1, len(text)), text[-1:] in ".!?", i / len(blocks), (len(blocks) - i) / len(blocks))
     return x
 
@@ -290,7 +290,7 @@ def sample_page(rnd: random.Random) -> tuple[str, list[str]]:
 
 
 @lru_cache(1)
-def labeller(pages: int = 600, seed: int = 11) -> Labeller:
+def labeller(pages: int = 400, seed: int = 11) -> Labeller:
     rnd, data = random.Random(seed), []
     for _ in range(pages):
         page, true = sample_page(rnd)
