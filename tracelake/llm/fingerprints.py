@@ -94,10 +94,7 @@ def near_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
     have one block alike: each table holds the distinct fingerprints under one
     block's value, and candidates are verified in full. Rows with one fingerprint
     are one entry, so a group of copies costs one row; the caller's table gives
-    membership. A block value that many different fingerprints hold is cut
-    further by the other blocks: with one block alike, the remaining bits still
-    hold radius errors over ``radius`` blocks and more, so they are keyed once
-    more by each half of the rest at half the radius.
+    membership.
     """
     if not 0 <= radius < BITS // 8:
         raise ValueError("radius must be from 0 to 15")
