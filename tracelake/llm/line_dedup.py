@@ -9,8 +9,8 @@ deletion at the same place, or one of them equals a deletion of the other. Equal
 lines are one entry. All deletions of a long line would cost the square of its
 length, and nearly no line has a neighbour, so two lossless filters come first:
 
-* neighbours agree in their first or their last half, so lines whose halves are
-  all unique are out;
+* neighbours agree in their first or their last half (cut down to whole classes of
+  lengths), so lines whose halves are all unique are out;
 * lines are cut in segments; an edit falls in one, and what lies before and after
   it agrees. Only a segment whose surroundings another line shares has its
   deletions emitted, as hashes of surroundings, place and rest.
@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from .common import one_an_id, stored, table, texts_of
 
 SEGMENT = 64
+#: What is trimmed off lines.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, pos, line) of lines that are long enough to be compared."""
-    line = F.btrim("col", F.lit(" \t\n\x0b\x0c\r"))
+    line = F.btrim("col", F.lit(SPACES))
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)))
     return rows.select("doc_id", "pos", line.alias("line")).where(F.length("line") >= min_chars)
 
@@ -42,13 +44,19 @@ def _names(line: str) -> tuple[Column, Column]:
 
 
 def _half_keys() -> Column:
-    """A line's halves, as the shorter line of a pair and as the longer one."""
-    keys = []
-    for short in (0, 1):
-        n = F.length("line") - short
-        half = F.floor(n / 2).cast("int")
-        keys += [F.xxhash64(F.lit("p"), n, F.substring("line", F.lit(1), half)), F.xxhash64(F.lit("s"), n, F.substring("line", F.length("line") - (n - half) + 1, n - half))]
-    return F.array(*keys)
+    """Keys of a line's start and end; one-edit neighbours share one.
+
+    The start and the end of a line of 8b to 8b + 7 code points have 4b, half of it
+    or a little less. A line of 8b may have a neighbour of 8b - 1, so it has the
+    keys of that class too.
+    """
+
+    def ends(b: Column) -> Column:
+        start, end = F.substring("line", F.lit(1), 4 * b), F.substring("line", F.length("line") - 4 * b + 1, 4 * b)
+        return F.array(F.xxhash64(F.lit("p"), b, start), F.xxhash64(F.lit("s"), b, end))
+
+    b = F.floor(F.length("line") / 8).cast("int")
+    return F.when(F.length("line") % 8 == 0, F.concat(ends(b), ends(b - 1))).otherwise(ends(b))
 
 
 def _segments() -> Column:
@@ -86,14 +94,17 @@ def near_lines(distinct: DataFrame) -> DataFrame:
     parts = distinct.select("h", "g", "first", F.explode(_segments()).alias("s")).select("h", "g", "first", "s.*")
     parts = stored(parts, "line-segments")
     busy = parts.groupBy("place").agg(F.count("*").alias("n")).where("n > 1").select("place")
-    deletions = parts.join(busy, "place", "left_semi").select("h", "g", "first", "mid", F.explode(_variants()).alias("v")).select("h", "g", "first", "mid", "v.key", "v.kind")
+    deletions = parts.join(busy, "place", "left_semi").select("h", "g", "first", F.explode(_variants()).alias("v")).select("h", "g", "first", "v.key", "v.kind")
     deletions = stored(deletions, "line-deletions")
+    twice = deletions.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    deletions = stored(deletions.join(twice, "key", "left_semi"), "line-met")
     # the earliest line of each kind in a group: of 's' all are neighbours; an 'a' and each 'b' are
-    lead = deletions.groupBy("key", "kind").agg(F.min(F.struct("first", "mid")).alias("lead"))
+    lead = deletions.groupBy("key", "kind").agg(F.min("first").alias("lead"))
     against = F.when(F.col("kind") == "s", F.lit("s")).when(F.col("kind") == "a", F.lit("b")).otherwise(F.lit("a"))
-    met = deletions.withColumn("kind", against).join(lead, ["key", "kind"])
-    met = met.where((F.col("lead.first") < F.col("first")) & (F.levenshtein("mid", "lead.mid", 1) >= 0))
-    return met.select("h", "g").distinct()
+    met = deletions.withColumn("kind", against).join(lead, ["key", "kind"]).where(F.col("lead") < F.col("first"))
+    met = met.select("h", "g", "first", "lead").distinct()
+    met = met.join(distinct.select("first", "line"), "first").join(distinct.select(F.col("first").alias("lead"), F.col("line").alias("other")), "lead")
+    return met.where(F.levenshtein("line", "other", 1) >= 0).select("h", "g").distinct()
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, near_chars: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,26 +115,30 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, near_chars: int = 24, id_co
     input, so a line goes even if the neighbour before it goes too. Rows with a null
     id are left out; of rows that share an id the one with the smallest text counts.
     """
+    if near_chars < 16:
+        raise ValueError("near_chars must be at least 16")
     rows = one_an_id(texts_of(docs, id_col, text_col))
     lines = lines_of(rows, min_chars)
-    every = lines.select("doc_id", "pos", *_names("line"), F.length("line").alias("size"))
-    first = stored(every.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"), F.first("size").alias("size")), "line-names")
-    # the texts of lines at their first places alone
-    long = first.where(F.col("size") >= near_chars).select("h", "g", "first")
-    own = lines.where(F.length("line") >= near_chars).select("doc_id", "pos", "line", *_names("line"))
-    halves = own.select("h", "g", F.explode(F.array_distinct(_half_keys())).alias("half")).distinct()
+    keys = F.when(F.length("line") >= near_chars, _half_keys())
+    every = stored(lines.select("doc_id", "pos", *_names("line"), keys.alias("keys")), "line-places")
+    first = stored(every.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "line-names")
+    # a line's first place stands for it; the texts of lines that share a half are fetched
+    halves = first.select("first.doc_id", "first.pos", F.explode("keys").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    some = halves.join(shared, "half", "left_semi").select("h", "g").distinct()
-    picked = long.join(some, ["h", "g"], "left_semi").select("first", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"))
-    texts = stored(own.join(picked, ["doc_id", "pos"]).select("h", "g", "first", "line"), "line-texts")
-    near = near_lines(texts).withColumn("near", F.lit(True))
+    picked = stored(halves.join(shared, "half", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "line-picks")
+    line = F.btrim(F.get("parts", F.col("pos")), F.lit(SPACES))
+    texts = rows.join(picked, "doc_id").select("doc_id", F.split("text", "\n", -1).alias("parts"), F.explode("at").alias("pos")).select(F.struct("doc_id", "pos").alias("first"), line.alias("line"))
+    near = near_lines(stored(texts.select(*_names("line"), "first", "line"), "line-texts")).withColumn("near", F.lit(True))
     judged = first.join(near, ["h", "g"], "left").where("n > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    judged = stored(judged, "line-judged")
     place = F.struct("doc_id", "pos")
-    gone = every.join(judged, ["h", "g"]).where(F.col("near") | (F.col("first") < place)).groupBy("doc_id").agg(F.collect_list("pos").alias("gone"))
+    gone = every.select("doc_id", "pos", "h", "g").join(judged, ["h", "g"]).where(F.col("near") | (F.col("first") < place))
+    gone = stored(gone.groupBy("doc_id").agg(F.collect_list("pos").alias("gone")), "lines-gone")
     parts = F.split("text", "\n", -1)
-    out = rows.join(gone, "doc_id", "left").select("doc_id", parts.alias("parts"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
-    kept = F.when(F.size("gone") == 0, F.col("parts")).otherwise(F.filter("parts", lambda x, i: ~F.array_contains(F.col("gone"), i)))
-    return out.select("doc_id", F.size("parts").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.array_join(kept, "\n").alias("kept"))
+    out = rows.join(gone, "doc_id", "left").select("doc_id", "text", parts.alias("parts"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("parts", i)), "\n"))
+    return out.select("doc_id", F.size("parts").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), kept.alias("kept"))
 
 
 def query(spark, sf_dir):
