@@ -135,7 +135,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, near_chars: int = 24, id_co
     gone = every.select("doc_id", "pos", "h", "g").join(judged, ["h", "g"]).where(F.col("near") | (F.col("first") < place))
     gone = stored(gone.groupBy("doc_id").agg(F.collect_list("pos").alias("gone")), "lines-gone")
     parts = F.split("text", "\n", -1)
-    out = rows.join(gone, "doc_id", "left").select("doc_id", "text", parts.alias("parts"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    # merged at every size: the list grows with the corpus, so small inputs are to do what large ones must
+    out = rows.join(gone.hint("merge"), "doc_id", "left").select("doc_id", "text", parts.alias("parts"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
     kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("parts", i)), "\n"))
     return out.select("doc_id", F.size("parts").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), kept.alias("kept"))
