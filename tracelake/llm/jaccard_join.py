@@ -57,7 +57,8 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray
                 has = count[short] > k
                 extra[has] = words.mix(extra[has] * _U(5) + h[first[short[has]] + k] + _U(k + 1))
         token, owner = np.concatenate((token, extra)), np.concatenate((owner, short))
-    order = np.lexsort((token, owner))
+    order = np.argsort(token)
+    order = order[np.argsort(owner[order].astype(np.uint16 if len(offs) <= 1 << 16 else np.int64), kind="stable")]
     token, owner = token[order], owner[order]
     keep = np.ones(len(token), bool)
     keep[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
@@ -155,7 +156,8 @@ def jaccard_components(docs: DataFrame, threshold: int = 90, n: int = 3, id_col:
                     for r in range(ROWS):
                         least = np.minimum.reduceat(words.mix(token + _U((k * ROWS + r + 1) * 7919)), at)
                         keys[full, k] = words.mix(keys[full, k] * _U(3) + least + _U(k))
-        order = np.lexsort((token, seen[(token >> _U(64 - SKETCH_BITS)).astype(np.int64)], owner))
+        # tokens come in rising order for each owner, so a stable sort keeps that among equal counts
+        order = np.argsort((owner << 32) + seen[(token >> _U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
         length = np.minimum(size, size - -(-threshold * size // 100) + MARK)
         place = np.arange(len(token)) - np.repeat(offs[:-1], size)
         use = place < np.repeat(length, size)
