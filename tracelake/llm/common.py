@@ -47,8 +47,21 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return back
 
 
+def stored_by(df: DataFrame, key: str, what: str) -> DataFrame:
+    """Like ``stored``, in buckets of ``key``: joins on it move only the other side, however many there are."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{what}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
+    back = spark.table(name)
+    back._stored_at, back._table = path, name
+    return back
+
+
 def discard(df: DataFrame) -> None:
-    """Removes what ``stored`` wrote, once nothing reads it any more."""
+    """Removes what ``stored`` or ``stored_by`` wrote, once nothing reads it any more."""
+    if name := getattr(df, "_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     path = getattr(df, "_stored_at", None)
     if path:
         jvm = df.sparkSession.sparkContext._jvm

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import buffers, discard, map_steps, one_an_id, steps, stored, table, texts_of
+from .common import buffers, discard, map_steps, one_an_id, steps, stored, stored_by, table, texts_of
 from .components import components
 from .repeats import release
 
@@ -184,27 +184,34 @@ def jaccard_components(docs: DataFrame, threshold: int = 90, n: int = 3, id_col:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), _signed(token))], ["rep", "tokens"])
 
     own = rows.join(live.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = stored(map_steps(own, whole, "rep long, tokens array<long>"), "live-sets")
+    sets = stored_by(map_steps(own, whole, "rep long, tokens array<long>"), "rep", "live_sets")
     release(rows.sparkSession)
+    every = tokens
     tokens = tokens.join(live, "rep", "left_semi")
     # 1. groups by minimal hashes: every member against the group's leader
     banded = reps.join(live, "rep", "left_semi").select("rep", "n", F.posexplode("bands").alias("band", "key"))
     lead = banded.groupBy("band", "key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
     stars = banded.join(lead, ["band", "key"]).where((F.col("rep") > F.col("lead.rep")) & _fits("n", "lead.n", threshold)).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
     links = stored(_verified(stars, sets, threshold), "links")
+    release(rows.sparkSession)
     # 2. each token's holders against the holder of its group that came first
     groups = _labelled(live, components(links))
     tokens = stored(tokens.join(groups, "rep"), "group-tokens")
+    discard(every)
     front = tokens.groupBy("token").agg(F.min(F.struct("group", "rep", "n")).alias("lead"), F.max("group").alias("last")).where("last <> lead.group")
     stars = tokens.join(front, "token").where((F.col("group") != F.col("lead.group")) & _fits("n", "lead.n", threshold))
     stars = stars.groupBy(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), F.least("n", "lead.n").alias("n")).agg(F.count("*").alias("hits")).where(F.col("hits") >= need).select("a", "b")
     more = stored(_verified(stars, sets, threshold), "links")
+    release(rows.sparkSession)
     links = stored(links.union(more), "links")
     # 3. the matrix: unions of the groups that came of this, and the queries that reach another group
     groups = stored(_labelled(live, components(links)), "groups")
+    grouped = tokens
     tokens = tokens.select("rep", "n", "token").join(groups, "rep")
     mixed = tokens.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
     tokens = stored(tokens.join(mixed, "token", "left_semi"), "mixed-tokens")
+    discard(grouped)
+    release(rows.sparkSession)
     matrix = tokens.select("token", F.col("group").alias("other")).distinct()
     query = tokens.join(matrix, "token").where(F.col("other") < F.col("group"))
     qualify = query.groupBy("rep", "n", "other").agg(F.count("*").alias("hits")).where(F.col("hits") >= need).select("rep", "n", "other")
