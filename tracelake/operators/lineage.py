@@ -34,7 +34,7 @@ def entry(stage, table, column, datatype=None, size=None, path=None, sources=Non
 
 
 def catalog(files: DataFrame, hops: DataFrame) -> DataFrame:
-    """One file a table. files: (seq, stage_dir, path, stem, sheet); hops: (hop_ord, dir, from_stage, to_stage).
+    """One file a table. files: (seq, stage_dir, path, stem, sheet), seq of any type with an order; hops: (hop_ord, dir, from_stage, to_stage).
 
     The last authoritative file wins (its name is the table's, or that and ``_V...``), otherwise the first one.
     """
@@ -43,8 +43,9 @@ def catalog(files: DataFrame, hops: DataFrame) -> DataFrame:
     first = hops.groupBy("dir").agg(F.min(F.struct("hop_ord", "from_stage", "to_stage")).alias("hop"))
     ends = hops.agg(F.min_by("from_stage", "hop_ord").alias("head"), F.max_by("to_stage", "hop_ord").alias("tail"))
     rows = files.withColumn("table_key", table).withColumn("authoritative", sure).where("table_key <> ''")
-    best = Window.partitionBy("table_key").orderBy(F.desc("authoritative"), F.when(F.col("authoritative"), -F.col("seq")).otherwise(F.col("seq")))
-    rows = rows.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
+    row = F.struct(*rows.columns)
+    last = F.max_by(row, F.when(F.col("authoritative"), F.col("seq")))
+    rows = rows.groupBy("table_key").agg(F.coalesce(last, F.min_by(row, "seq")).alias("r")).select("r.*")
     rows = rows.join(first, rows.stage_dir == first.dir, "left").join(F.broadcast(ends))  # one row
     return rows.select("table_key", "path", "sheet", "stage_dir", F.coalesce("hop.from_stage", "head").alias("from_stage"), F.coalesce("hop.to_stage", "tail").alias("to_stage"), "authoritative")
 
