@@ -32,8 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that an earlier document or line has; documents that nothing is left of go."""
-    return _with_text(docs, line_dedup.line_dedup(docs))
+    """Texts without lines, of any length but blank ones, that an earlier document or line has within one edit; documents that nothing is left of go."""
+    return _with_text(docs, line_dedup.line_dedup(docs, min_chars=1, near_chars=1))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

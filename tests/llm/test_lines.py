@@ -82,3 +82,38 @@ def test_oracle(spark):
 
     got = line_dedup(spark.read.parquet(path)).select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept"), 256))
     assert sorted(map(tuple, got.collect())) == want
+
+
+def short():
+    rnd = random.Random(4)
+    lines = ["", " ", "a", "b", "é", "ab", "ba", "abc", "Les.", "Les. ", "Des.", "Erheed. Titionly.", "Erheed. Titionly", "x" * 15, "x" * 16, "x" * 17, "x" * 19]
+    lines += ["".join(rnd.choice("abé漢") for _ in range(n)) for n in (5, 6, 7, 7, 8, 8, 9, 12, 15, 16, 17, 23, 24) for _ in range(3)]
+    texts = {}
+    for i in range(40):
+        out = []
+        for _ in range(rnd.randint(0, 5)):
+            s = list(rnd.choice(lines))
+            if s and rnd.random() < 0.5:
+                p = rnd.randrange(len(s))
+                s[p : p + rnd.randint(0, 1)] = rnd.choice(["", "z", "é"])
+            out.append("".join(s))
+        texts[i * 2] = "\n".join(out)
+    return texts
+
+
+def test_short_lines(spark, texts):
+    every = made() | short() | {i + 10**4: t for i, t in texts.items()} | {i + 10**5: t for i, t in short().items()}
+    df = spark.createDataFrame(list(every.items()), "doc_id long, text string").repartition(4)
+    for least, near in ((1, 1), (1, 16), (1, 5)):
+        got = {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in line_dedup(df, least, near).collect()}
+        want = brute(every, least, near)
+        assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {} and len(got) == len(want)
+
+
+def test_stage_removes_short_repeats(spark):
+    import corpus_pipeline
+
+    rows = [(1, "Les.\n\n\nfirst text"), (2, "second one\n\nLes."), (3, "Les."), (4, "Erheed. Titionly.\nother words\nErheed, Titionly.")]
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert got == {1: "Les.\n\n\nfirst text", 2: "second one\n", 4: "Erheed. Titionly.\nother words"}

@@ -48,7 +48,8 @@ def _half_keys() -> Column:
 
     The start and the end of a line of 8b to 8b + 7 code points have 4b, half of it
     or a little less. A line of 8b may have a neighbour of 8b - 1, so it has the
-    keys of that class too.
+    keys of that class too. Lines under 8 code points have no halves to tell them
+    apart: b is 0, they share one key, and all of them go on.
     """
 
     def ends(b: Column) -> Column:
@@ -71,7 +72,7 @@ def _segments() -> Column:
             place = F.xxhash64(n, j, F.substring("line", F.lit(1), SEGMENT * j), F.substring("line", F.length("line") - rest + 1, rest))
             return F.struct(F.lit(short == 0).alias("short"), place.alias("place"), mid.alias("mid"))
 
-        return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / SEGMENT).cast("int")), segment)
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / SEGMENT), F.lit(0)).cast("int")), segment)
 
     return F.concat(role(0), role(1))
 
@@ -111,12 +112,13 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, near_chars: int = 24, id_co
     """(doc_id, n_lines, n_removed, kept) of every document; kept: its other lines, joined as they were.
 
     Null texts are empty, and an empty text has one empty line. Lines shorter than
-    ``min_chars`` code points always stay. What counts as earlier is judged on the
+    ``min_chars`` code points always stay, those shorter than ``near_chars`` go only
+    if an earlier one is equal; 1 and 1 exempt blank lines alone. What counts as earlier is judged on the
     input, so a line goes even if the neighbour before it goes too. Rows with a null
     id are left out; of rows that share an id the one with the smallest text counts.
     """
-    if near_chars < 16:
-        raise ValueError("near_chars must be at least 16")
+    if near_chars < 1:
+        raise ValueError("near_chars must be at least 1")
     rows = one_an_id(texts_of(docs, id_col, text_col))
     lines = lines_of(rows, min_chars)
     keys = F.when(F.length("line") >= near_chars, _half_keys())
