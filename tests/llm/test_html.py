@@ -32,3 +32,11 @@ def test_awkward_pages(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert html_text.extract(df).count() == 5 and html_text.extract(df.limit(0)).count() == 0
     assert html_text.extract(df.where("html = '' or html is null")).where("text = '' and n_chars = 0").count() == 2
+
+
+def test_every_word_counts():
+    head = " ".join(f"w{i}" for i in range(60))
+    a, b = (html_text.vectors(html_text.leaves(f"<p>{head} {w}</p>"))[0] for w in ("advert " * 300, "banner " * 300))
+    assert (a != b).any()
+    words = slice(html_text.PATH_SLOTS, html_text.PATH_SLOTS + html_text.WORD_SLOTS)
+    assert abs(a[words].sum() - 1) < 1e-5 and a[words].max() > 300 / 360 - 1e-5

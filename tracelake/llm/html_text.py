@@ -122,8 +122,7 @@ def vectors(blocks) -> np.ndarray:
             for w in names.replace("-", " ").replace("_", " ").split():
                 x[i, _slot("c:" + w, PATH_SLOTS)] = 1
         words = text.split()
-        for w in words[:50]:
-            x[i, PATH_SLOTS + _slot("w:" + w.lower(), WORD_SLOTS)] += 1 / min(50, len(words))
+        x[i, PATH_SLOTS : PATH_SLOTS + WORD_SLOTS] = np.bincount([_slot("w:" + w.lower(), WORD_SLOTS) for w in words], minlength=WORD_SLOTS) / len(words)
         x[i, PATH_SLOTS + WORD_SLOTS :] = (min(1, len(text) / 400), min(1, len(words) / 60), links / max(1, len(text)), text[-1:] in ".!?", i / len(blocks), (len(blocks) - i) / len(blocks))
     return x
 
