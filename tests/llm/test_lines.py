@@ -117,3 +117,9 @@ def test_stage_removes_short_repeats(spark):
     docs = spark.createDataFrame([(i, t, "xx", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
     assert got == {1: "Les.\n\n\nfirst text", 2: "second one\n", 4: "Erheed. Titionly.\nother words"}
+
+
+def test_real_text_wins_over_blank(spark):
+    rows = [(1, None), (1, "b real"), (1, "c real"), (2, " \n"), (2, "real"), (3, ""), (3, None)]
+    got = {r.doc_id: r.kept for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "b real", 2: "real", 3: ""}

@@ -74,10 +74,11 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def one_an_id(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) rows with unique ids: null ids left out, of rows with one id the smallest text. Texts move only if an id repeats."""
+    """(doc_id, text) rows with unique ids: null ids left out, of rows with one id the smallest text, blank ones last. Texts move only if an id repeats."""
     docs = docs.where("doc_id is not null")
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+        blank = ~F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))
+        docs = docs.groupBy("doc_id").agg(F.min(F.struct(blank.alias("blank"), "text")).alias("r")).select("doc_id", "r.text")
     return docs
 
 
