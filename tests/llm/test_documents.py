@@ -113,3 +113,16 @@ def test_held_out_labels(spark):
     ).first()
     assert right / n > 0.9 and lost / clean < 0.05
     assert quality_rules.fit(docs, labels.limit(0)) == []
+
+
+def test_wide_radius(spark):
+    rnd = np.random.default_rng(2)
+    values = [(int(a) << 64) | int(b) for a, b in rnd.integers(0, 2**62, (20, 2), dtype=np.int64)]
+    for v in list(values):
+        for flips in (15, 16, 19, 20, 21):
+            values.append(v ^ sum(1 << int(k) for k in rnd.choice(128, flips, replace=False)))
+    one = sorted({f"{v:032x}" for v in values})
+    df = spark.createDataFrame([(x,) for x in one], "fingerprint string")
+    want = {(a, b, d) for i, a in enumerate(one) for b in one[i + 1 :] if (d := bin(int(a, 16) ^ int(b, 16)).count("1")) <= 20}
+    got = {(r.left, r.right, r.distance) for r in fingerprints.near_fingerprints(df, 20).collect()}
+    assert got == want and len(want) >= 80

@@ -94,10 +94,11 @@ def near_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
     have one block alike: each table holds the distinct fingerprints under one
     block's value, and candidates are verified in full. Rows with one fingerprint
     are one entry, so a group of copies costs one row; the caller's table gives
-    membership.
+    membership. Blocks of a wide radius are short and tell little apart: at 20 bits
+    they have six, so candidates grow with the square of the fingerprints.
     """
-    if not 0 <= radius < BITS // 8:
-        raise ValueError("radius must be from 0 to 15")
+    if not 0 <= radius < BITS:
+        raise ValueError("radius must be from 0 to 127")
     one = prints.select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct()
     bits = F.concat(*[F.lpad(F.conv(F.substring("fingerprint", 1 + 8 * k, 8), 16, 2), 32, "0") for k in range(4)])
     edges = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
