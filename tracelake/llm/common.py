@@ -26,47 +26,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares; a temporary one only where none is named (tests)."""
+    """The folder the cluster shares. A temporary one is made only on a local master, where driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = jdir.get() if jdir.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="tracelake-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+#: Spark's own setting: a query's shuffle files go when it ends.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here and lost executors cost nothing."""
+    """``df`` written to the shared folder and read back: lineage ends here and lost executors cost nothing.
+
+    What was shuffled to make it goes when the write ends; the files themselves go
+    with ``discard`` or, at the latest, when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
+    fs, at = _file(spark, path)
+    fs.deleteOnExit(at)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path
     return back
 
 
-def stored_by(df: DataFrame, key: str, what: str) -> DataFrame:
-    """Like ``stored``, in buckets of ``key``: joins on it move only the other side, however many there are."""
-    spark = df.sparkSession
-    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{what}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
-    back = spark.table(name)
-    back._stored_at, back._table = path, name
-    return back
+def _file(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def discard(df: DataFrame) -> None:
-    """Removes what ``stored`` or ``stored_by`` wrote, once nothing reads it any more."""
-    if name := getattr(df, "_table", None):
-        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
-    path = getattr(df, "_stored_at", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*frames: DataFrame) -> None:
+    """Removes what ``stored`` wrote, once nothing reads it any more."""
+    for df in frames:
+        if path := getattr(df, "_stored_at", None):
+            fs, at = _file(df.sparkSession, path)
+            fs.delete(at, True)
 
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

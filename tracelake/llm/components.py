@@ -23,7 +23,7 @@ def components(links: DataFrame) -> DataFrame:
         heard = edges.join(labels, edges.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard"))
         best = labels.join(heard, "id").select("id", "label", F.least("label", "heard").alias("best"))
         up = labels.select(F.col("id").alias("best"), F.col("label").alias("jump"))
-        moved = best.join(up, "best", "left").select("id", "label", F.least("best", F.coalesce("jump", "best")).alias("new"))
+        moved = best.join(up, "best", "left").select("id", F.least("best", F.coalesce("jump", "best")).alias("new"), "label")
         moved = stored(moved, "labels")
         changed = moved.where("new <> label").limit(1).count()
         discard(labels)
@@ -31,4 +31,6 @@ def components(links: DataFrame) -> DataFrame:
         labels._stored_at = moved._stored_at
         if not changed:
             discard(edges)
-            return labels.select("id", F.col("label").alias("component"))
+            out = labels.select("id", F.col("label").alias("component"))
+            out._stored_at = moved._stored_at
+            return out

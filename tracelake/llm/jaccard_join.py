@@ -1,19 +1,27 @@
 """N-gram Jaccard join by a token-group matrix.
 
 A document is its set of word-shingle hashes. Documents with one set are one
-entry. Two sets that link have at least ceil(s * n) tokens in common, n being the
-larger size, so they share MARK tokens at least among the first
-n - ceil(s * n) + MARK tokens of each in any common order. The order is rarest
-first, by a count sketch of fixed size over the whole corpus, so common lines and
-passages stay out of these prefixes.
-
-Groups come first from shared minimal hashes, in which every member is verified
-against one leader, and then are what those links connect. The matrix has a row
-for each token of a group's union. A query's prefix bounds its overlap with a
-group: fewer than MARK hits, and no member can link. Only qualifying groups other
-than the query's own are opened, and their members verified one by one. Similar
-documents are in one group by then, so large groups of near copies cost one
-comparison a member.
+entry. Let o = ceil(s * n) for an entry of n tokens: what it links with shares at
+least o of them, and at most H = (n + m) * (1 - s) / (1 + s) tokens lie in only
+one of two linked entries of n and m.
+
+1. A sample of each entry, its first n - o + l tokens by hash, must have l tokens
+   in common with the sample of a partner. Entries whose samples do not meet
+   others' that often are out; with l = n * (1 - s) / 2 that is nearly every
+   document that merely shares a passage or a line. Only what is left is read whole.
+2. Entries with a minimal hash in common are compared with the first of them, and
+   the links that hold make *groups* of similar entries.
+3. The token-group matrix has a row for each token and group cell whose union holds
+   it; a large group has several cells. Tokens are taken rarest first, and those of
+   one group alone are out of question. Of two linked entries one has its first MARK
+   common tokens among its first n * (1 - s) / (1 + s) + MARK, the other among its
+   first n - o + MARK, so a cell pair qualifies with MARK tokens in those columns.
+4. A qualifying cell is opened: the entries of the smaller cell go to the larger one
+   and are counted against its members, whole sets, in one pass over an inverted
+   list. One link a cell is kept, as its members are one group already.
+
+Nothing is compared within a group after step 2, so a group of near copies costs one
+comparison a member, whatever its size.
 """
 
 from __future__ import annotations
@@ -24,17 +32,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import buffers, discard, map_steps, one_an_id, steps, stored, stored_by, table, texts_of
+from .common import buffers, discard, map_steps, one_an_id, stored, table, texts_of
 from .components import components
-from .repeats import release
 
 _U = np.uint64
-#: Tokens that linked sets share in their prefixes at least.
+#: Tokens that linked entries share in the columns of the matrix that are read.
 MARK = 2
 #: Independent minimal hashes that groups are made by, and how many make one key.
 BANDS, ROWS = 3, 2
-SKETCH_BITS = 20
-_BLOCK = 1 << 14
+#: Tokens that a cell of a group holds, about, and entries that are held against one copy of a cell.
+CELL, ASKS = 1 << 16, 256
+#: Counters that one comparison step works on.
+_COUNTERS = 1 << 22
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -70,61 +79,103 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _sketch(rows: DataFrame, n: int) -> np.ndarray:
-    """Sets that hold each of 2**SKETCH_BITS classes of tokens: a few MB whatever the corpus."""
+def _least(n, threshold: int):
+    """Tokens that an entry of n has in common with any partner, at least. For arrays and columns."""
+    return -(-threshold * n // 100) if isinstance(n, np.ndarray) else F.ceil(n * threshold / 100)
 
-    def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in steps(batches):
-            token, _ = shingle_sets(*buffers(batch.column("text")), n)
-            total += np.bincount((token >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        for b in range(0, len(total), _BLOCK):
-            part = total[b : b + _BLOCK].astype(np.int32)
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
 
-    def add(key, pdf):
-        import pandas as pd
+def _extra(n, threshold: int):
+    """Sampled tokens beyond those that a partner may lack, which two samples must share."""
+    return n * (100 - threshold) // 200 + MARK if isinstance(n, np.ndarray) else F.floor(n * (100 - threshold) / 200) + MARK
 
-        total = np.sum([np.frombuffer(x, np.int32).astype(np.int64) for x in pdf["counts"]], axis=0)
-        return pd.DataFrame({"block": [key[0]], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
-    parts = rows.mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
-    out = np.zeros(1 << SKETCH_BITS, np.int32)
-    for r in parts.collect():
-        out[r["block"] : r["block"] + _BLOCK] = np.frombuffer(r["counts"], np.int32)
-    return out
+class _Cell:
+    """The members of one cell as an inverted list, for entries to be counted against."""
+
+    def __init__(self, reps: list[int], sets: list[np.ndarray]):
+        self.reps, self.size = np.array(reps), np.array([len(x) for x in sets])
+        token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(token, kind="stable")
+        token, self.owner = token[order], owner[order]
+        at = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        self.token, self.begin, self.count = token[at], at, np.diff(np.append(at, len(token)))
 
+    def first_links(self, sets: list[np.ndarray], threshold: int) -> np.ndarray:
+        """For each set the member it links with, of several the first; -1 if none."""
+        out, members = np.full(len(sets), -1), len(self.reps)
+        most = max(1, _COUNTERS // members // max(1, max(len(x) for x in sets)))
+        for lo in range(0, len(sets), most):
+            part = sets[lo : lo + most]
+            size = np.array([len(x) for x in part])
+            token, ask = np.concatenate(part), np.repeat(np.arange(len(part)), size)
+            at = np.minimum(np.searchsorted(self.token, token), len(self.token) - 1)
+            hit = self.token[at] == token
+            at, ask = at[hit], ask[hit]
+            n = self.count[at]
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[at], n)
+            both = np.bincount(np.repeat(ask, n) * members + self.owner[place], minlength=len(part) * members).reshape(len(part), members)
+            ok = 100 * both >= threshold * (size[:, None] + self.size[None, :] - both)
+            out[lo : lo + most] = np.where(ok.any(1), ok.argmax(1), -1)
+        return out
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    left = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y"))
+
+def _opened(asks: DataFrame, cells: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between entries and the members of the cells they ask, one for each entry and cell.
+
+    asks: (rep, cell); cells: (rep, cell); sets: (rep, tokens). A cell that very many
+    ask is opened in several tasks, each with a copy of the cell and ASKS of them.
+    """
+    asks = stored(asks, "asks")
+    load = stored(asks.groupBy("cell").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("copies")), "asked")
+    members = cells.join(load, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), "rep")
+    asking = asks.join(load, "cell").select("cell", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), "rep")
 
     def run(batches):
+        at, reps, have, cell = None, [], [], None
         for batch in batches:
-            step = 256
-            for lo in range(0, batch.num_rows, step):
-                part = batch.slice(lo, step)
-                x, y = part.column("x"), part.column("y")
-                xo, yo = np.asarray(x.offsets).astype(np.int64), np.asarray(y.offsets).astype(np.int64)
-                xv, yv = np.asarray(x.flatten()).view(_U), np.asarray(y.flatten()).view(_U)
-                xo, yo = xo - xo[0], yo - yo[0]
-                nx, ny = np.diff(xo), np.diff(yo)
-                ox, oy = np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)
-                token, owner = np.concatenate((xv, yv)), np.concatenate((ox, oy))
-                order = np.lexsort((token, owner))
-                t, o = token[order], owner[order]
-                both = np.bincount(o[1:][(t[1:] == t[:-1]) & (o[1:] == o[:-1])], minlength=part.num_rows)
-                ok = 100 * both >= threshold * (nx + ny - both)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(ok))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _fits(a: str, b: str, threshold: int):
-    """Whether two sizes allow the similarity."""
-    return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
+            keys = list(zip(batch.column("cell").to_pylist(), batch.column("copy").to_pylist()))
+            kind, rep = batch.column("kind").to_pylist(), batch.column("rep").to_pylist()
+            tokens = batch.column("tokens")
+            offs = np.asarray(tokens.offsets).astype(np.int64)
+            flat = np.asarray(tokens.flatten()).view(_U)
+            sets_ = [flat[a:b] for a, b in zip(offs - offs[0], offs[1:] - offs[0])]
+            found, i = [], 0
+            while i < len(keys):
+                if keys[i] != at:
+                    at, reps, have, cell = keys[i], [], [], None
+                if kind[i] == 0:
+                    reps.append(rep[i])
+                    have.append(sets_[i].copy())
+                    i += 1
+                    continue
+                j = i
+                while j < len(keys) and keys[j] == at and kind[j] == 1:
+                    j += 1
+                if reps:
+                    cell = cell or _Cell(reps, have)
+                    link = cell.first_links(sets_[i:j], threshold)
+                    found += [(rep[i + k], int(cell.reps[m])) for k, m in enumerate(link) if m >= 0]
+                i = j
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows = members.unionByName(asking).join(sets, "rep").select("cell", "copy", "kind", "rep", "tokens")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = stored(rows.repartition(parts, "cell", "copy").sortWithinPartitions("cell", "copy", "kind").mapInArrow(run, "a long, b long"), "links")
+    discard(asks, load)
+    return out
+
+
+def _met(tokens: DataFrame, sizes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(tokens that several entries sample, entries that meet others often enough to link)."""
+    shared = stored(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "shared")
+    tokens = stored(tokens.join(shared, "token", "left_semi"), "met")
+    discard(shared)
+    hits = tokens.groupBy("rep").agg(F.count("*").alias("hits")).join(sizes, "rep")
+    low = _least(F.col("n"), threshold)
+    live = hits.where(F.col("hits") >= F.least(_extra(low, threshold), low)).select("rep", "n")
+    return tokens, stored(live, "live")
 
 
 def jaccard_components(docs: DataFrame, threshold: int = 90, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,17 +184,15 @@ def jaccard_components(docs: DataFrame, threshold: int = 90, n: int = 3, id_col:
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text of fewer than n
     words is one shingle, one without words (or null) has none and links with nothing.
     Links: 100 * intersection >= threshold * union. Rows with a null id are left
-    out; of rows that share an id the one with the smallest text counts.
+    out; of rows that share an id the one with the smallest text that is not blank counts.
     """
     if not 50 < threshold <= 100:
         raise ValueError("threshold must be over 50 and at most 100")
     rows = one_an_id(texts_of(docs, id_col, text_col))
-    seen = _sketch(rows, n)
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
         token, offs = shingle_sets(*buffers(batch.column("text")), n)
         size = np.diff(offs)
-        owner = np.repeat(np.arange(len(size)), size)
         full = size > 0
         at = offs[:-1][full]
         set_a, set_b = np.zeros(len(size), _U), np.zeros(len(size), _U)
@@ -156,82 +205,91 @@ def jaccard_components(docs: DataFrame, threshold: int = 90, n: int = 3, id_col:
                     for r in range(ROWS):
                         least = np.minimum.reduceat(words.mix(token + _U((k * ROWS + r + 1) * 7919)), at)
                         keys[full, k] = words.mix(keys[full, k] * _U(3) + least + _U(k))
-        # tokens come in rising order for each owner, so a stable sort keeps that among equal counts
-        order = np.argsort((owner << 32) + seen[(token >> _U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-        length = np.minimum(size, size - -(-threshold * size // 100) + MARK)
-        place = np.arange(len(token)) - np.repeat(offs[:-1], size)
-        use = place < np.repeat(length, size)
-        prefix = token[order][use]
+        length = np.minimum(size, size - _least(size, threshold) + _extra(size, threshold))
+        sample = token[np.arange(len(token)) - np.repeat(offs[:-1], size) < np.repeat(length, size)]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(size), _signed(set_a), _signed(set_b), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), _signed(prefix)), pa.FixedSizeListArray.from_arrays(_signed(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))],
-            ["doc_id", "n", "set_a", "set_b", "prefix", "bands"],
+            [batch.column("doc_id"), pa.array(size), _signed(set_a), _signed(set_b), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), _signed(sample)), pa.FixedSizeListArray.from_arrays(_signed(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))],
+            ["doc_id", "n", "set_a", "set_b", "sample", "bands"],
         )
 
-    feats = stored(map_steps(rows, features, "doc_id long, n long, set_a long, set_b long, prefix array<long>, bands array<long>"), "sets")
-    # documents with one set are one entry
+    feats = stored(map_steps(rows, features, "doc_id long, n long, set_a long, set_b long, sample array<long>, bands array<long>"), "sets")
+    # documents with one set are one entry; an entry of one token links with no other
     alike = stored(feats.where("n > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "reps")
-    reps = feats.join(alike.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "prefix", "bands")
-    # only entries with enough prefix tokens that others have too can link; a set shorter than MARK has only its own
-    tokens = reps.select("rep", "n", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    tokens = stored(tokens.join(shared, "token", "left_semi"), "tokens")
-    release(rows.sparkSession)
-    need = F.least(F.lit(MARK), F.col("n"))
-    live = stored(tokens.groupBy("rep", "n").agg(F.count("*").alias("hits")).where(F.col("hits") >= need).select("rep"), "live")
+    reps = feats.where("n > 1").join(alike.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
+    sampled = stored(reps.select("rep", F.explode("sample").alias("token")), "sampled")
+    # 1. twice, as tokens shared with an entry that is out count no more
+    first, live = _met(sampled, feats.select(F.col("doc_id").alias("rep"), "n"), threshold)
+    second, live2 = _met(first.join(live, "rep", "left_semi"), live, threshold)
+    discard(sampled, first, second, live)
+    live = live2
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         token, offs = shingle_sets(*buffers(batch.column("text")), n)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), _signed(token))], ["rep", "tokens"])
 
     own = rows.join(live.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = stored_by(map_steps(own, whole, "rep long, tokens array<long>"), "rep", "live_sets")
-    release(rows.sparkSession)
-    every = tokens
-    tokens = tokens.join(live, "rep", "left_semi")
-    # 1. groups by minimal hashes: every member against the group's leader
-    banded = reps.join(live, "rep", "left_semi").select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    lead = banded.groupBy("band", "key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
-    stars = banded.join(lead, ["band", "key"]).where((F.col("rep") > F.col("lead.rep")) & _fits("n", "lead.n", threshold)).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stored(_verified(stars, sets, threshold), "links")
-    release(rows.sparkSession)
-    # 2. each token's holders against the holder of its group that came first
-    groups = _labelled(live, components(links))
-    tokens = stored(tokens.join(groups, "rep"), "group-tokens")
-    discard(every)
-    front = tokens.groupBy("token").agg(F.min(F.struct("group", "rep", "n")).alias("lead"), F.max("group").alias("last")).where("last <> lead.group")
-    stars = tokens.join(front, "token").where((F.col("group") != F.col("lead.group")) & _fits("n", "lead.n", threshold))
-    stars = stars.groupBy(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), F.least("n", "lead.n").alias("n")).agg(F.count("*").alias("hits")).where(F.col("hits") >= need).select("a", "b")
-    more = stored(_verified(stars, sets, threshold), "links")
-    release(rows.sparkSession)
-    links = stored(links.union(more), "links")
-    # 3. the matrix: unions of the groups that came of this, and the queries that reach another group
-    groups = stored(_labelled(live, components(links)), "groups")
-    grouped = tokens
-    tokens = tokens.select("rep", "n", "token").join(groups, "rep")
-    mixed = tokens.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
-    tokens = stored(tokens.join(mixed, "token", "left_semi"), "mixed-tokens")
-    discard(grouped)
-    release(rows.sparkSession)
-    matrix = tokens.select("token", F.col("group").alias("other")).distinct()
-    query = tokens.join(matrix, "token").where(F.col("other") < F.col("group"))
-    qualify = query.groupBy("rep", "n", "other").agg(F.count("*").alias("hits")).where(F.col("hits") >= need).select("rep", "n", "other")
-    member = tokens.select("token", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("group").alias("other"))
-    opened = tokens.select("rep", "n", "token").join(qualify.select("rep", "other"), "rep").join(member, ["token", "other"]).where(_fits("n", "m", threshold))
-    opened = opened.groupBy("a", F.col("rep").alias("b"), F.least("n", "m").alias("n")).agg(F.count("*").alias("hits")).where(F.col("hits") >= need).select("a", "b")
-    last = stored(_verified(opened, sets, threshold), "links")
-    found = components(links.union(last)).select(F.col("id").alias("rep"), "component")
-    release(rows.sparkSession)
-    for gone in (sets, tokens):
-        discard(gone)
+    sets = stored(map_steps(own, whole, "rep long, tokens array<long>"), "live-sets")
+    # 2. groups by minimal hashes: every entry against the first with the same hash
+    banded = feats.select(F.col("doc_id").alias("rep"), "n", F.posexplode("bands").alias("band", "key")).join(live.select("rep"), "rep", "left_semi")
+    banded = stored(banded, "bands")
+    lead = stored(banded.groupBy("band", "key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1").select("band", "key", "lead"), "leads")
+    fits = 100 * F.least("n", "lead.n") >= threshold * F.greatest("n", "lead.n")
+    stars = banded.join(lead, ["band", "key"]).where((F.col("rep") > F.col("lead.rep")) & fits).select("rep", F.col("lead.rep").alias("cell")).distinct()
+    near = _opened(stars, live.select("rep", F.col("rep").alias("cell")), sets, threshold)
+    labels = components(near)
+    discard(banded, lead)
+    # 3. the matrix over cells of groups
+    grouped = live.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("group"))
+    grouped = stored(grouped, "grouped")
+    large = stored(grouped.groupBy("group").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("cells"), F.count("*").alias("members")), "large")
+    cells = grouped.join(large, "group").select("rep", "n", "group", F.xxhash64("group", F.pmod(F.xxhash64("rep"), F.col("cells"))).alias("cell"))
+    cells = stored(cells, "cells")
+    tokens = sets.join(cells, "rep").select("rep", "group", F.explode("tokens").alias("token"))
+    mixed = tokens.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("token", "df")
+    mixed = stored(mixed, "mixed")
+    ranked = tokens.select("rep", "token").join(mixed, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"))
+    # tokens of one group alone stand before these
+    own, c = F.col("n") - F.size("by_df"), F.floor(F.col("n") * (100 - threshold) / (100 + threshold)) + MARK
+    columns = F.col("n") - _least(F.col("n"), threshold) + MARK
+    cut = F.slice("by_df", 1, F.greatest(columns - own, F.lit(0)).cast("int"))
+    ranked = ranked.join(cells, "rep").select("cell", "group", F.posexplode(cut).alias("pos", "t"), (c - own).alias("first"))
+    matrix = stored(ranked.groupBy(F.col("t.token").alias("token"), "cell", "group").agg(F.max(F.col("pos") < F.col("first")).alias("first")), "matrix")
+    discard(mixed)
+    other = matrix.select("token", F.col("cell").alias("other"), F.col("group").alias("other_group"))
+    pairs = matrix.where("first").join(other, "token").where("group <> other_group")
+    pairs = pairs.groupBy("cell", "other").agg(F.count("*").alias("hits")).where(F.col("hits") >= MARK).select("cell", "other")
+    # 4. the smaller cell of a pair asks the larger one
+    size = stored(cells.groupBy("cell").agg(F.count("*").alias("members")), "cell-sizes")
+    sized = pairs.join(size, "cell").join(size.select(F.col("cell").alias("other"), F.col("members").alias("others")), "other")
+    forth = (F.col("members") < F.col("others")) | ((F.col("members") == F.col("others")) & (F.col("cell") < F.col("other")))
+    turned = sized.select(F.when(forth, F.col("cell")).otherwise(F.col("other")).alias("from"), F.when(forth, F.col("other")).otherwise(F.col("cell")).alias("cell")).distinct()
+    asks = turned.join(cells.select(F.col("cell").alias("from"), "rep"), "from").select("rep", "cell")
+    far = _opened(asks, cells.select("rep", "cell"), sets, threshold)
+    found = components(near.unionByName(far)).select(F.col("id").alias("rep"), "component")
+    discard(matrix, size, cells, large, grouped, labels, sets, live, near, far)
     out = feats.select("doc_id", "n", "set_a", "set_b").join(alike, ["set_a", "set_b"], "left")
     out = out.withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id"))).join(found, "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
-def _labelled(live: DataFrame, found: DataFrame) -> DataFrame:
-    """(rep, group) of every live entry, its own group where nothing links it."""
-    return live.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("group"))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+shingles AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s
+  FROM split),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)),
+both AS (SELECT x AS a, y AS b FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT a, b FROM both UNION SELECT r.a, e.b FROM reach r JOIN both e ON e.a = r.b),
+least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id))::BIGINT AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_of l ON l.a = d.doc_id
+"""

@@ -18,14 +18,12 @@ on the driver and no pairs of occurrences are made.
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
@@ -67,14 +65,6 @@ def _tag(key: str):
     return F.col(key).bitwiseAND(0x7FFFFFFF).cast("int").alias("tag")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that are over."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def least_in_window(value: np.ndarray, width: int) -> np.ndarray:
     """For each p, the leftmost place of the least of value[p : p + width]; p to len - width."""
     n = len(value) - width + 1
@@ -180,7 +170,6 @@ def repeated_starts(docs: DataFrame, kind: Kind) -> DataFrame:
     by_key = Window.partitionBy("key")
     counted = counted.withColumn("kinds", F.count("*").over(by_key)).where((F.col("n") > 1) | (F.col("kinds") > 1))
     counted = stored(counted.select("ctx", _tag("key"), "lead", "n", (F.col("kinds") > 1).alias("open")), "names")
-    release(spark)
 
     def places(batches):
         for batch in steps(batches):
@@ -195,7 +184,6 @@ def repeated_starts(docs: DataFrame, kind: Kind) -> DataFrame:
     found = docs.mapInArrow(places, "ctx long, tag int, doc_id long, a int, more int, lag int").join(counted, ["ctx", "tag"])
     whole = F.col("lead") < F.col("doc_id") if earlier else F.col("n") > 1
     found = stored(found.select("doc_id", "a", (F.col("a") + F.col("more")).alias("b"), "lag", whole.alias("whole"), (F.col("open") & (F.col("lead") == F.col("doc_id"))).alias("lead")).where("whole or lead"), "runs")
-    release(spark)
 
     leads = found.where("lead").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "lag")).alias("spans"))
 
@@ -249,7 +237,6 @@ def repeated_starts(docs: DataFrame, kind: Kind) -> DataFrame:
     else:
         single = named.withColumn("k", F.count("*").over(pair)).where("k > 1")
     single = stored(single.select("doc_id", "a", F.col("a").alias("b")), "windows")
-    release(spark)
     both = found.where("whole").select("doc_id", "a", "b").unionByName(single)
     return both.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
