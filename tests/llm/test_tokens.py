@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -32,6 +34,28 @@ def test_library_ids(texts):
         assert bpe.byte_bpe(BYTE).decode(ids[offs[i] : offs[i + 1]]) == t.encode()
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "aab", "漢字テスト", "ABab01+/"])
+def test_long_words(letters):
+    """Words that merge by themselves, beside ordinary ones; a million letters take seconds."""
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    texts = [word(700), f"a {word(5000)} b {word(513)}", "a b", word(20_000) + "!"]
+    ids, offs = bpe.word_bpe(WORD).encode(texts)
+    also, cut, *_ = bpe.byte_bpe(BYTE).encode(texts)
+    for i, t in enumerate(texts):
+        assert ids[offs[i] : offs[i + 1]].tolist() == TOKENIZER.encode(t, add_special_tokens=False).ids
+        assert also[cut[i] : cut[i + 1]].tolist() == TIKTOKEN.encode_ordinary(t)
+
+
+def test_a_million_letters():
+    rnd = random.Random(4)
+    text = "".join(rnd.choices("etaoinshrdlu", k=1_000_000))
+    began = time.time()
+    assert len(bpe.ByteBpe(BYTE).encode([text])[0]) == len(TIKTOKEN.encode_ordinary(text))
+    assert bpe.WordBpe(WORD).count([text])[0] > 0
+    assert time.time() - began < 90
+
+
 def test_counts(docs, texts, none):
     got = {r.doc_id: r for r in token_counts.count_tokens(docs, WORD).collect()}
     assert got.keys() == texts.keys()
