@@ -160,21 +160,26 @@ def _opened(asks: DataFrame, cells: DataFrame, sets: DataFrame, threshold: int)
                 a, b = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = members.unionByName(asking).join(sets, "rep").select("cell", "copy", "kind", "rep", "tokens")
+    rows = _merged(members.unionByName(asking), sets, "rep").select("cell", "copy", "kind", "rep", "tokens")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = stored(rows.repartition(parts, "cell", "copy").sortWithinPartitions("cell", "copy", "kind").mapInArrow(run, "a long, b long"), "links")
     discard(asks, load)
     return out
 
 
+def _merged(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join whose sides both grow with the corpus: merged at every size, so that what is measured is what a large input does."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def _met(tokens: DataFrame, sizes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """(tokens that several entries sample, entries that meet others often enough to link)."""
     shared = stored(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "shared")
-    tokens = stored(tokens.join(shared, "token", "left_semi"), "met")
+    tokens = stored(_merged(tokens, shared, "token", "left_semi"), "met")
     discard(shared)
-    hits = tokens.groupBy("rep").agg(F.count("*").alias("hits")).join(sizes, "rep")
+    hits = tokens.groupBy("rep").agg(F.count("*").alias("hits"))
     low = _least(F.col("n"), threshold)
-    live = hits.where(F.col("hits") >= F.least(_extra(low, threshold), low)).select("rep", "n")
+    live = _merged(hits, sizes, "rep").where(F.col("hits") >= F.least(_extra(low, threshold), low)).select("rep", "n")
     return tokens, stored(live, "live")
 
 
@@ -215,11 +220,11 @@ def jaccard_components(docs: DataFrame, threshold: int = 90, n: int = 3, id_col:
     feats = stored(map_steps(rows, features, "doc_id long, n long, set_a long, set_b long, sample array<long>, bands array<long>"), "sets")
     # documents with one set are one entry; an entry of one token links with no other
     alike = stored(feats.where("n > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "reps")
-    reps = feats.where("n > 1").join(alike.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
+    reps = _merged(feats.where("n > 1"), alike.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
     sampled = stored(reps.select("rep", F.explode("sample").alias("token")), "sampled")
     # 1. twice, as tokens shared with an entry that is out count no more
     first, live = _met(sampled, feats.select(F.col("doc_id").alias("rep"), "n"), threshold)
-    second, live2 = _met(first.join(live, "rep", "left_semi"), live, threshold)
+    second, live2 = _met(_merged(first, live, "rep", "left_semi"), live, threshold)
     discard(sampled, first, second, live)
     live = live2
 
@@ -227,36 +232,37 @@ def jaccard_components(docs: DataFrame, threshold: int = 90, n: int = 3, id_col:
         token, offs = shingle_sets(*buffers(batch.column("text")), n)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), _signed(token))], ["rep", "tokens"])
 
-    own = rows.join(live.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    own = _merged(rows, live.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = stored(map_steps(own, whole, "rep long, tokens array<long>"), "live-sets")
     # 2. groups by minimal hashes: every entry against the first with the same hash
-    banded = feats.select(F.col("doc_id").alias("rep"), "n", F.posexplode("bands").alias("band", "key")).join(live.select("rep"), "rep", "left_semi")
+    banded = feats.select(F.col("doc_id").alias("rep"), "n", F.posexplode("bands").alias("band", "key"))
+    banded = _merged(banded, live.select("rep"), "rep", "left_semi")
     banded = stored(banded, "bands")
     lead = stored(banded.groupBy("band", "key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1").select("band", "key", "lead"), "leads")
     fits = 100 * F.least("n", "lead.n") >= threshold * F.greatest("n", "lead.n")
-    stars = banded.join(lead, ["band", "key"]).where((F.col("rep") > F.col("lead.rep")) & fits).select("rep", F.col("lead.rep").alias("cell")).distinct()
+    stars = _merged(banded, lead, ["band", "key"]).where((F.col("rep") > F.col("lead.rep")) & fits).select("rep", F.col("lead.rep").alias("cell")).distinct()
     near = _opened(stars, live.select("rep", F.col("rep").alias("cell")), sets, threshold)
     labels = components(near)
     discard(banded, lead)
     # 3. the matrix over cells of groups
-    grouped = live.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("group"))
+    grouped = _merged(live, labels.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("group"))
     grouped = stored(grouped, "grouped")
     large = stored(grouped.groupBy("group").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("cells"), F.count("*").alias("members")), "large")
-    cells = grouped.join(large, "group").select("rep", "n", "group", F.xxhash64("group", F.pmod(F.xxhash64("rep"), F.col("cells"))).alias("cell"))
+    cells = _merged(grouped, large, "group").select("rep", "n", "group", F.xxhash64("group", F.pmod(F.xxhash64("rep"), F.col("cells"))).alias("cell"))
     cells = stored(cells, "cells")
-    tokens = sets.join(cells, "rep").select("rep", "group", F.explode("tokens").alias("token"))
+    tokens = _merged(sets, cells, "rep").select("rep", "group", F.explode("tokens").alias("token"))
     mixed = tokens.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("token", "df")
     mixed = stored(mixed, "mixed")
-    ranked = tokens.select("rep", "token").join(mixed, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"))
+    ranked = _merged(tokens.select("rep", "token"), mixed, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"))
     # tokens of one group alone stand before these
     own, c = F.col("n") - F.size("by_df"), F.floor(F.col("n") * (100 - threshold) / (100 + threshold)) + MARK
     columns = F.col("n") - _least(F.col("n"), threshold) + MARK
     cut = F.slice("by_df", 1, F.greatest(columns - own, F.lit(0)).cast("int"))
-    ranked = ranked.join(cells, "rep").select("cell", "group", F.posexplode(cut).alias("pos", "t"), (c - own).alias("first"))
+    ranked = _merged(ranked, cells, "rep").select("cell", "group", F.posexplode(cut).alias("pos", "t"), (c - own).alias("first"))
     matrix = stored(ranked.groupBy(F.col("t.token").alias("token"), "cell", "group").agg(F.max(F.col("pos") < F.col("first")).alias("first")), "matrix")
     discard(mixed)
     other = matrix.select("token", F.col("cell").alias("other"), F.col("group").alias("other_group"))
-    pairs = matrix.where("first").join(other, "token").where("group <> other_group")
+    pairs = _merged(matrix.where("first"), other, "token").where("group <> other_group")
     pairs = pairs.groupBy("cell", "other").agg(F.count("*").alias("hits")).where(F.col("hits") >= MARK).select("cell", "other")
     # 4. the smaller cell of a pair asks the larger one
     size = stored(cells.groupBy("cell").agg(F.count("*").alias("members")), "cell-sizes")
@@ -267,8 +273,9 @@ def jaccard_components(docs: DataFrame, threshold: int = 90, n: int = 3, id_col:
     far = _opened(asks, cells.select("rep", "cell"), sets, threshold)
     found = components(near.unionByName(far)).select(F.col("id").alias("rep"), "component")
     discard(matrix, size, cells, large, grouped, labels, sets, live, near, far)
-    out = feats.select("doc_id", "n", "set_a", "set_b").join(alike, ["set_a", "set_b"], "left")
-    out = out.withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id"))).join(found, "rep", "left")
+    out = _merged(feats.select("doc_id", "n", "set_a", "set_b"), alike, ["set_a", "set_b"], "left")
+    out = out.withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
+    out = _merged(out, found, "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
