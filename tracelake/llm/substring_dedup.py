@@ -3,11 +3,12 @@
 Recompression: a text is a sequence of symbols, at first its words. A round names
 runs (a symbol beside its equal) and then pairs (a symbol of the left class before
 one of the right class, classes being a bit of the name), so that whether two
-neighbours join depends on them and their neighbours alone. Names are hashes of
-what they stand for, the same on every executor. After two rounds a symbol has at
-most 8 words, and two equal windows have the same symbol borders except within 8
-words of their ends. The phrase names at those interior borders are the high-level
-symbols that Spark counts: a repeat has a shared one, and is then verified.
+neighbours join depends on them and their neighbours alone. A new name is a hash of
+the names it is made of, the same on every executor. After two rounds of pairs a
+symbol has at most 8 words, and two equal windows have the same symbols except within
+8 words of their ends. The least-named of these interior symbols stands for a window:
+Spark counts it over the whole corpus, a window whose symbol is found once is out, and
+a repeat is then verified by the names of all its words.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from .common import buffers, one_an_id, steps, table, texts_of
 from .repeats import Kind, Runs, Stretches, covered, least_in_window, own_repeats, repeated_starts, runs_of
 
 _U = np.uint64
-#: Words of a phrase that is named, and the most that a border's place depends on.
-PHRASE = REACH = 8
+#: Words of a symbol at most, and how far off the words are, at most, that a border's place depends on.
+SYMBOL = REACH = 8
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 _LAST = _U(2**64 - 1)
 
@@ -47,18 +48,18 @@ def _pairs(sym: np.ndarray, own: np.ndarray, seed: int) -> np.ndarray:
     return merge
 
 
-def borders(sym: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Index of the word that each symbol begins with, after a round of runs and two of pairs."""
+def symbols(sym: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(names, index of the word that each begins with) after a round of runs and two of pairs."""
     at = np.arange(len(sym))
     if len(sym) < 2:
-        return at
+        return sym, at
     alike = np.zeros(len(sym) + 1, bool)  # alike[i]: symbols i - 1 and i
     alike[1:-1] = (sym[1:] == sym[:-1]) & (own[1:] == own[:-1])
     twin = alike[1:] & ~alike[:-1] & ~np.append(alike[2:], False)  # a run of exactly two
     sym, own, at = _join(sym, own, at, twin, 11)
     for seed in (12, 13):
         sym, own, at = _join(sym, own, at, _pairs(sym, own, seed), seed)
-    return at
+    return sym, at
 
 
 def _kind(size: int) -> Kind:
@@ -69,12 +70,11 @@ def _kind(size: int) -> Kind:
         if len(h) < size:
             z = np.zeros(0, np.int64)
             return runs_of(z, z, z, z.astype(_U), None, size, first[:-1])
+        sym, at = symbols(h, own)
         name = np.full(len(h), _LAST, _U)
-        name[: len(h) - PHRASE + 1] = words.window_hash(h, PHRASE, 21)
-        value = np.full(len(h), _LAST, _U)
-        at = borders(h, own)
-        value[at] = name[at]
-        best = least_in_window(value, size - 2 * PHRASE - REACH + 4)  # borders from REACH words after a window's start
+        name[at] = words.mix(sym)
+        # symbols that begin REACH words after a window's start and end, with what their end depends on, in it
+        best = least_in_window(name, size - 2 * REACH - SYMBOL + 1)
         start = np.arange(len(h) - size + 1)
         anchor = best[start + REACH]
         ok = own[start] == own[start + size - 1]
@@ -101,8 +101,8 @@ def substring_dedup(docs: DataFrame, size: int = 35, id_col: str = "doc_id", tex
     space. Rows with a null id are left out; of rows that share an id the one with
     the smallest text counts.
     """
-    if size < 3 * PHRASE + 8:
-        raise ValueError(f"size must be {3 * PHRASE + 8} or more")
+    if size < 2 * (REACH + SYMBOL):  # every window is to have a symbol inside
+        raise ValueError(f"size must be {2 * (REACH + SYMBOL)} or more")
     rows = one_an_id(texts_of(docs, id_col, text_col))
     kind = _kind(size)
     spans = repeated_starts(rows, kind)
