@@ -49,10 +49,10 @@ class Runs:
 
 @dataclass(frozen=True)
 class Kind:
-    """runs(data, offs) of a slice; windows(data, offs, text, start): two names of each window; earlier: only later occurrences count as repeats."""
+    """runs(data, offs) of a slice; windows(data, offs, text, start): names of the halves of each window, or of its quarters where ``step`` is set; earlier: only later occurrences count as repeats."""
 
     runs: Callable[[np.ndarray, np.ndarray], Runs]
-    windows: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    windows: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
     size: int
     earlier: bool
     #: Where not 0, a round between: starts are taken in steps of this many from the anchor, and what all windows of
@@ -220,15 +220,17 @@ def repeated_starts(docs: DataFrame, kind: Kind) -> DataFrame:
             count = np.diff(offs) - size + 1
             owner = np.repeat(np.arange(batch.num_rows), count)
             start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            x, y = windows(data, offs, owner, start)
-            a = batch.column("a").to_numpy()[owner] + start
-            yield pa.RecordBatch.from_arrays([_signed(x), _signed(y), pa.array(_ids(batch)[owner]), pa.array(a.astype(np.int32))], ["x", "y", "doc_id", "a"])
+            a = pa.array((batch.column("a").to_numpy()[owner] + start).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*map(_signed, windows(data, offs, owner, start)), pa.array(_ids(batch)[owner]), a], ["p", "q", "r", "s", "doc_id", "a"])
 
     named = docs.join(leads, "doc_id").select("doc_id", "text", "spans")
     schema = "x long, y long, doc_id long, a int"
     if kind.step:
         named = named.mapInArrow(cores, "core long, doc_id long, a int, text binary").withColumn("k", F.count("*").over(Window.partitionBy("core"))).where("k > 1").drop("k")
-        named = named.mapInArrow(opened, schema)
+        named = named.mapInArrow(opened, "p long, q long, r long, s long, doc_id long, a int")
+        # a round: both halves of a window get the name of their pair of quarters, and one that is unique takes the window out
+        for half, pair in (("x", ["p", "q"]), ("y", ["r", "s"])):
+            named = named.withColumn("k", F.count("*").over(Window.partitionBy(*pair))).where("k > 1").withColumn(half, F.xxhash64(*pair)).drop("k", *pair)
     else:
         named = named.mapInArrow(compared, schema)
     pair = Window.partitionBy("x", "y")

@@ -1,19 +1,20 @@
 """Removal of bytes covered by a string of ``size`` bytes that also starts earlier.
 
-Prefix doubling: the rank of a position's first 2h bytes is the pair (rank of
-h bytes here, rank of h bytes h further on). Ranks are 64-bit names of the pairs,
-equal for equal bytes everywhere. Positions leave as soon as their rank is unique:
+Prefix doubling: the rank of a position's first 2h bytes is the pair (rank of h bytes
+here, rank of h bytes h further on). Ranks are 64-bit names of the pairs, equal for
+equal bytes everywhere. Positions leave as soon as their rank is unique:
 
-* offsets 1 to 16 name the grams of 32 bytes. Every string of ``size`` bytes is
-  tied to the least-ranked gram in it, which equal strings share, so only those
-  positions, one in 35, go through Spark's first ranking;
+* offsets 1 to 16 name the grams of 32 bytes inside a slice of text. Every string of
+  ``size`` bytes is tied to the least-ranked gram in it, which equal strings share, so
+  only those positions, one in 35, go through Spark's first ranking;
 * a gram found once drops all strings tied to it; strings around a gram that are
   alike as a whole are settled together;
 * the positions around what is left are taken in steps of ``size`` // 6, and what
   the strings of a step have in common (5 / 6 of ``size``) is ranked next;
-* what is left then is ranked position by position: Spark sorts the pairs (rank of the
-  first half, rank of the second half) with the place, and all but the first
-  place of a pair are covered.
+* what is left then is ranked position by position. Spark groups the pairs of ranks at
+  offset ``size`` // 4 and names them anew, for both halves of the string; a half that
+  is unique takes its position out. The pairs of the new ranks at offset ``size`` // 2
+  are sorted with the place, and all but the first place of a pair are covered.
 """
 
 from __future__ import annotations
@@ -62,13 +63,9 @@ def _kind(size: int) -> Kind:
     def windows(data, offs, owner, start):
         at = offs[owner] + start
         s = Stretches(value[data])
-        q, half = size // 4, size // 2
+        cut = [0, size // 4, size // 2, size // 2 + size // 4, size]
         zero = np.zeros(len(at), np.int64)
-        with np.errstate(over="ignore"):
-            rank = [words.mix(s.name(at + k, at + k + q, zero) * np.uint64(3) + s.name(at + k + q, at + k + half, zero)) for k in (0, half)]
-            if size % 2:
-                rank[1] = words.mix(rank[1] + s.name(at + 2 * half, at + size, zero))
-        return rank[0], rank[1]
+        return tuple(s.name(at + a, at + b, zero) for a, b in zip(cut, cut[1:]))
 
     return Kind(runs, windows, size, True, size // 6)
 
