@@ -108,12 +108,12 @@ def near_lines(distinct: DataFrame) -> DataFrame:
     return met.where(F.levenshtein("line", "other", 1) >= 0).select("h", "g").distinct()
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20, near_chars: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 1, near_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_removed, kept) of every document; kept: its other lines, joined as they were.
 
     Null texts are empty, and an empty text has one empty line. Lines shorter than
     ``min_chars`` code points always stay, those shorter than ``near_chars`` go only
-    if an earlier one is equal; 1 and 1 exempt blank lines alone. What counts as earlier is judged on the
+    if an earlier one is equal; as it stands blank lines alone are exempt. What counts as earlier is judged on the
     input, so a line goes even if the neighbour before it goes too. Rows with a null
     id are left out; of rows that share an id the one with the smallest text counts.
     """
@@ -155,8 +155,8 @@ parts AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM docs),
 every AS (SELECT doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) AS pos FROM parts),
 lines AS (
   SELECT doc_id, pos, raw, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM every),
-firsts AS (SELECT line, length(line) AS n, min({'d': doc_id, 'p': pos}) AS first FROM lines WHERE length(line) >= 20 GROUP BY line),
-long AS (SELECT * FROM firsts WHERE n >= 24),
+firsts AS (SELECT line, length(line) AS n, min({'d': doc_id, 'p': pos}) AS first FROM lines WHERE length(line) >= 1 GROUP BY line),
+long AS (SELECT * FROM firsts),
 cand AS (
   SELECT a.line AS l, b.line AS r, a.first AS lf, b.first AS rf FROM long a JOIN long b
     ON b.n = a.n AND a.line < b.line AND left(a.line, (a.n // 2)::INT) = left(b.line, (a.n // 2)::INT)
