@@ -26,6 +26,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 END_ID = 1
 _BIG = np.int64(1) << 60
 _SEGMENT = 1 << 19
+#: Shards at most, whatever the corpus.
+MOST_SHARDS = 1 << 15
 
 
 def cuts(n: int, penalty: np.ndarray, limit: int, last: bool, inner: int) -> np.ndarray:
@@ -98,16 +100,18 @@ def pack(docs: DataFrame, vocabulary: str, limit: int = 2048, sentence: int = 2,
     """Pieces of documents by sequence: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     Every document is its token ids and a closing id; a null or empty text is the
-    closing id alone. Rows go by id, equal ids by text, null ids first. Shards are
-    ranges of ids, streamed in segments, so a task holds one segment and the
-    longest document. limit: a power of two.
+    closing id alone. Rows go by id, equal ids by a hash of their text, null ids first.
+    Shards are ranges in this order of about ``shard_bytes``, or larger so that there
+    are at most MOST_SHARDS of them. They are streamed in segments, so a task holds one
+    segment and the longest document. limit: a power of two.
     """
     if limit < 4 or limit & (limit - 1):
         raise ValueError("limit must be a power of two, 4 or more")
     rows = texts_of(docs, id_col, text_col)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, round(total / shard_bytes))
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    parts = min(MOST_SHARDS, max(1, round(total / shard_bytes)))
+    order = ["doc_id", F.xxhash64("text")]  # rows that share an id can lie in several shards
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches):
         of = bpe.word_bpe(vocabulary)
