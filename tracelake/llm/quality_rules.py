@@ -201,7 +201,7 @@ def learn(x: dict[str, np.ndarray], reject: np.ndarray, seed: int = 7, most_rule
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[list[Condition]]:
-    """Rules from at most ``most`` labelled rows (label 0: reject); null labels and ids don't count, repeated ones count once.
+    """Rules from at most ``most`` labelled rows (label 0: reject); null labels and ids don't count, repeated ones count once, with the smallest label and text.
 
     The sample is the rows with the smallest hash of their id, so it is the same
     in every run; statistics are computed for these rows alone.
@@ -209,6 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, id_col: str =
     sample = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).alias("label"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     own = texts_of(docs, id_col, text_col).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
+    own = own.groupBy("doc_id").agg(F.min("text").alias("text"))  # a row for each sampled id, however many share it
     rows = text_stats(own).join(F.broadcast(sample), "doc_id").where(~_base_failed()).select(*[feature(k).alias(k) for k in FEATURES], "label").toPandas()
     return learn({k: rows[k].to_numpy(float) for k in FEATURES}, rows["label"].to_numpy() == 0)
 
