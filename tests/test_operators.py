@@ -36,8 +36,8 @@ def test_completeness(spark):
 
 def test_tail_and_null_safe_match(spark):
     own = ln.source(F.lit("STG_ABC"), F.lit("c"), F.lit("1-1"), F.lit("join STG_ABC and dwh_bcd"))
-    rec = spark.range(1).select(F.array(ln.entry(F.lit("dwh"), F.lit("T"), F.lit("c"), sources=F.array(own))).alias("lineage"))
-    assert rec.select(ln.tail().alias("t")).first().t.dependencies == "DWH_BCD"
+    rec = spark.range(1).select(F.lit("d").alias("description"), F.array(ln.entry(F.lit("dwh"), F.lit("T"), F.lit("c"), sources=F.array(own))).alias("lineage"))
+    assert tuple(rec.select(ln.tail().alias("t")).first().t) == ("d", "1-1", "join STG_ABC and dwh_bcd", "DWH_BCD")
     a = spark.createDataFrame([(None, 1), ("x", 2)], "key string, v int")
     both = checks.matched(a, a, ["key"])
     assert both.where("m is not null and p is not null").count() == 2

@@ -57,8 +57,8 @@ def test_rows(spark, archive):
 def test_catalog(spark, archive):
     rows = wb.sheet_rows(spark, str(archive))
     files = wb.tables(rows, lay.DEFAULT)
-    assert {(r.stage_dir, r.stem, r.sheet) for r in files.collect()} == {("SRC_STGDIH", "STG_A", "STG_A"), ("SRC_STGDIH", "only_ddl", "only_ddl"), ("STGDIH_DWHDIH", "DWH_A", "dwh_a")}
-    found = ln.catalog(files, lay.DEFAULT.hops_frame(spark)).select("table_key", "to_stage").collect()
+    assert {(r.stage_dir, r.stem, r.table, r.sheet) for r in files.collect()} == {("SRC_STGDIH", "STG_A", "STG_A", "STG_A"), ("SRC_STGDIH", "only_ddl", "only_ddl", " ddl "), ("STGDIH_DWHDIH", "DWH_A", "dwh_a", "dwh_a")}
+    found = ln.catalog(files, lay.DEFAULT.hops_frame(spark), list(lay.DEFAULT.stages)).select("table_key", "to_stage").collect()
     assert {tuple(r) for r in found} == {("STG_A", "staging"), ("ONLY_DDL", "staging"), ("DWH_A", "dwh")}
     last = wb.final_sheets(rows.where(F.endswith("path", F.lit("X.xlsx")))).collect()
     assert [(r.sheet_key, r.sheet) for r in last] == [("X", "x ")]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Identifiers that a rule depends on, and what introduces a declared view.
+#: Identifiers that a rule depends on, the header of a view that declares its columns, and a declared column.
 TABLE_TOKEN = r"(?i)\b(?:STG|DWH|SRC)_[A-Z0-9_]{3,}\b"
-VIEW_HEADER = r'(?si)\bVIEW\s+("[^"]+"|[\w.$]+)\s*\(([^)]*)\)\s*AS\b'
+VIEW_HEADER = r'(?si)VIEW\s+("(?:[^"]+)"|\S+)\s*\((.*?)\)\s*AS\s'
 QUOTED = r'"([^"]+)"'
 
 
@@ -69,7 +73,7 @@ def dependency_tokens(logic: Column | str, own: Column | str) -> Column:
 
 
 def view_name(text: Column | str) -> Column:
-    return F.regexp_replace(F.nullif(F.regexp_extract(_c(text), VIEW_HEADER, 1), F.lit("")), '"', "")
+    return F.regexp_replace(F.nullif(F.regexp_extract(_c(text), VIEW_HEADER, 1), F.lit("")), '^"+|"+$', "")
 
 
 def view_columns(text: Column | str) -> Column:
@@ -77,7 +81,12 @@ def view_columns(text: Column | str) -> Column:
 
 
 def content_key(kind: Column | str, content: Column | str, sheet: Column | str) -> Column:
-    return F.concat_ws("|", _c(kind), F.substring(F.sha2(_c(content), 256), 1, 16), F.coalesce(_c(sheet), F.lit("None")))
+    return digest_key(kind, F.sha2(_c(content), 256), sheet)
+
+
+def digest_key(kind: Column | str, digest: Column | str, sheet: Column | str) -> Column:
+    """The same from a SHA-256 in hexadecimal digits."""
+    return F.concat_ws("|", _c(kind), F.substring(_c(digest), 1, 16), F.coalesce(_c(sheet), F.lit("None")))
 
 
 def ratio(n: Column, total: Column, digits: int = 0) -> Column:
@@ -90,7 +99,7 @@ def ratio(n: Column, total: Column, digits: int = 0) -> Column:
 def strip_prefix(table: Column | str, prefix: str) -> Column:
     """The raw name without the prefix, null where it hasn't got it."""
     t = _c(table)
-    return F.when(F.startswith(F.upper(t), F.lit(prefix.upper())), F.substring(t, len(prefix) + 1, 1_000_000))
+    return F.when(F.startswith(normalize(t), F.lit(prefix.upper())), F.substring(t, len(prefix) + 1, 1_000_000))
 
 
 def header_row(cells: Column | str, anchors: list[list[str]]) -> Column:
@@ -109,6 +118,52 @@ def header_row(cells: Column | str, anchors: list[list[str]]) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def clean(x: Column | str) -> Column:
+    """A cell for comparison: composed characters, no white space around them, '' for null.
+
+    Only text outside ASCII goes through the Arrow function; ASCII is composed as it is.
+    """
+    x = _c(x).cast("string")
+    return F.coalesce(strip(F.when(F.regexp_like(x, F.lit(r"^\p{ASCII}*$")), x).otherwise(_composed()(x))), F.lit(""))
+
+
+@lru_cache(1)
+def _composed():
+    """Made at first use: the return type needs a running Spark."""
+
+    @F.pandas_udf("string")
+    def composed(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
+
+    return composed
+
+
+def view_key(view: Column | str, column: Column | str, table: Column | str, source: Column | str) -> Column:
+    """What rows of view lineage are matched on: the view's field and its source."""
+    return F.struct(key_of(view, column).alias("field"), key_of(table, source).alias("source"))
+
+
+def excerpt(x: Column | str, n: int = 60) -> Column:
+    return F.substring(_c(x), 1, n)
+
+
+def failure(kind: Column | str, message: Column | str, n: int = 200) -> Column:
+    """How a failed conversion is reported."""
+    return F.concat(F.lit("extraction failed - "), _c(kind), F.lit(": "), F.substring(_c(message), 1, n))
+
+
+def unfenced(reply: Column | str) -> Column:
+    """The JSON of a reply that may stand in a code fence."""
+    text = strip(reply)
+    inner = strip(F.regexp_replace(F.regexp_replace(text, "^`+|`+$", ""), "^json", ""))
+    return F.when(F.startswith(text, F.lit("```")), inner).otherwise(text)
+
+
+def no_nan(x: Column | str) -> Column:
+    """Null where a number is not one."""
+    return F.when(F.isnan(_c(x)), F.lit(None)).otherwise(_c(x))
+
+
 def _matches(cells: Column, group: list[str]):
     return lambda i: _any(F.get(cells, i), group)
 

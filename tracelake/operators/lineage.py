@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import keys as k
 
+#: Cells that a record has for each of its stages, in order.
+FIELDS = ["table", "column", "path", "datatype", "size"]
 #: A walk follows this many owned fields upstream; a view chain this many views.
 WALK_STEPS, VIEW_STEPS = 7, 5
 
@@ -33,26 +35,40 @@ def entry(stage, table, column, datatype=None, size=None, path=None, sources=Non
     return F.struct(pick(stage), pick(schema), pick(table), pick(column), pick(datatype), pick(size), pick(constraint), _null(), pick(path), own).cast(ENTRY)
 
 
-def catalog(files: DataFrame, hops: DataFrame) -> DataFrame:
-    """One file a table. files: (seq, stage_dir, path, stem, sheet), seq of any type with an order; hops: (hop_ord, dir, from_stage, to_stage).
+def catalog(files: DataFrame, hops: DataFrame, stages: list[str]) -> DataFrame:
+    """One file a table. files: (seq, stage_dir, path, stem, table, sheet), seq of any type with an order; hops: (hop_ord, dir, from_stage, to_stage).
 
     The last authoritative file wins (its name is the table's, or that and ``_V...``), otherwise the first one.
+    A folder that no hop names maps from the first stage to the last.
     """
-    table, stem = k.normalize("sheet"), k.normalize("stem")
+    table, stem = k.normalize("table"), k.normalize("stem")
     sure = (stem == table) | F.startswith(stem, F.concat(table, F.lit("_V")))
     first = hops.groupBy("dir").agg(F.min(F.struct("hop_ord", "from_stage", "to_stage")).alias("hop"))
-    ends = hops.agg(F.min_by("from_stage", "hop_ord").alias("head"), F.max_by("to_stage", "hop_ord").alias("tail"))
     rows = files.withColumn("table_key", table).withColumn("authoritative", sure).where("table_key <> ''")
     row = F.struct(*rows.columns)
     last = F.max_by(row, F.when(F.col("authoritative"), F.col("seq")))
     rows = rows.groupBy("table_key").agg(F.coalesce(last, F.min_by(row, "seq")).alias("r")).select("r.*")
-    rows = rows.join(first, rows.stage_dir == first.dir, "left").join(F.broadcast(ends))  # one row
-    return rows.select("table_key", "path", "sheet", "stage_dir", F.coalesce("hop.from_stage", "head").alias("from_stage"), F.coalesce("hop.to_stage", "tail").alias("to_stage"), "authoritative")
+    rows = rows.join(first, rows.stage_dir == first.dir, "left")
+    return rows.select("table_key", "path", "sheet", "stage_dir", F.coalesce("hop.from_stage", F.lit(stages[0])).alias("from_stage"), F.coalesce("hop.to_stage", F.lit(stages[-1])).alias("to_stage"), "authoritative")
 
 
 def hop_rows(owners: DataFrame, hop: DataFrame) -> DataFrame:
-    """Extraction rows with their owner. owners: a catalog; hop rows have (path, ord, HOP columns)."""
-    return hop.join(owners, "path")
+    """Extraction rows with their owner; all rows of a field stay. owners: a catalog; hop rows have (path, sheet, ord, HOP columns)."""
+    return owners.join(hop, ["path", "sheet"])
+
+
+def wanted(owners: DataFrame, last_dir: str, names: list[str] | None = None) -> DataFrame:
+    """(table_key, known) of the tables to build: the named ones, or else those of the last hop's folder; known: the catalog has it."""
+    if not names:
+        return owners.where(F.col("stage_dir") == last_dir).select("table_key", F.lit(True).alias("known"))
+    asked = owners.sparkSession.createDataFrame([(n,) for n in names], "n string").select(k.normalize("n").alias("table_key")).distinct()
+    return asked.join(owners.select("table_key", F.lit(True).alias("known")), "table_key", "left").select("table_key", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def final_names(targets: DataFrame, prefixes: list[str]) -> DataFrame:
+    """(table_key) under which the final stage may file the targets: with each prefix, and without it."""
+    own = F.array(F.col("table_key"), *[k.strip_prefix("table_key", p) for p in prefixes])
+    return targets.select(F.explode(own).alias("table_key")).where("table_key is not null").distinct()
 
 
 def edges(owned: DataFrame) -> DataFrame:
@@ -67,47 +83,62 @@ def _own_source(prefix: str = "") -> Column:
     return F.array(source(c("source_table"), c("source_column"), c("transformation_type"), c("transformation_logic"), c("source_role")))
 
 
+_LINK = ("to_stage", "from_stage", "name", "path", "target_datatype", "target_size", "source_table", "source_column", "source_datatype", "source_size")
+
+
+def paths(step: DataFrame, steps: int = WALK_STEPS) -> DataFrame:
+    """(p_table, p_column, path): the fields upstream of each owned field, itself first, cut after ``steps`` or before a field comes again.
+
+    step: unique edges. Paths double: what lies 1, 2, 4 ... fields up is appended by
+    a left join of the paths so far with themselves, so 7 steps take three joins,
+    over fields and not over the rows that will ask for them.
+    """
+    link = F.struct(k.key_of("table_key", "column_key").alias("key"), *[F.col(c) for c in _LINK], _own_source().alias("sources"))
+    rows = step.withColumn("name", k.strip("sheet"))
+    rows = rows.select(F.col("table_key").alias("p_table"), F.col("column_key").alias("p_column"), F.array(link).alias("path"), k.normalize("source_table").alias("n_table"), k.normalize("source_column").alias("n_column"))
+    have = 1
+    while have < steps:
+        on = rows.select(F.col("p_table").alias("n_table"), F.col("p_column").alias("n_column"), F.col("path").alias("more"), F.col("n_table").alias("m_table"), F.col("n_column").alias("m_column"))
+        hit = F.col("more").isNotNull()
+        got = lambda new, old: F.when(hit, F.col(new)).otherwise(F.col(old)).alias(old)
+        rows = rows.join(on, ["n_table", "n_column"], "left").select("p_table", "p_column", F.when(hit, F.concat("path", "more")).otherwise(F.col("path")).alias("path"), got("m_table", "n_table"), got("m_column", "n_column"))
+        have *= 2
+    return rows.select("p_table", "p_column", _until("path", F.lit(None).cast("string"), steps).alias("path"))
+
+
+def _until(path: str, own: Column, steps: int) -> Column:
+    """The part of a path before a key that is ``own`` or came before, of at most ``steps``."""
+    keys = F.transform(path, lambda e: e["key"])
+    bad = lambda i: F.coalesce(F.get(keys, i) == own, F.lit(False)) | F.array_contains(F.slice(keys, 1, i), F.get(keys, i))
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(keys) - 1, F.lit(0))), bad)
+    return F.slice(path, 1, F.least(F.coalesce(F.array_min(at), F.size(keys)), F.lit(steps)).cast("int"))
+
+
 def walk(targets: DataFrame, step: DataFrame, steps: int = WALK_STEPS) -> DataFrame:
     """Lineage records of owned target rows, origin first: adds ``lineage`` array<ENTRY>.
 
-    Each round is a left join on the unique edges, so targets keep their number; the
-    cycle test stands in the join condition, and a row that misses keeps its state.
-    What a row still points at after the last round is its origin.
+    Every row takes the path of the field that it states as its source, in one left
+    join on unique fields, so targets keep their number. The path ends where the row's
+    own field comes up; what is still pointed at there is the origin.
     """
-    e = step.select(
-        F.col("table_key").alias("e_table"), F.col("column_key").alias("e_column"), k.strip("sheet").alias("e_name"), F.col("to_stage").alias("e_to"), F.col("from_stage").alias("e_from"), F.col("path").alias("e_path"),
-        F.col("target_datatype").alias("e_dt"), F.col("target_size").alias("e_sz"), F.col("source_table").alias("e_st"), F.col("source_column").alias("e_sc"), F.col("source_datatype").alias("e_sdt"), F.col("source_size").alias("e_ssz"),
-        _own_source().alias("e_sources"),
-    )
-    own = entry(F.col("to_stage"), k.strip("sheet"), F.col("target_column"), F.col("target_datatype"), F.col("target_size"), F.col("path"), _own_source())
-    state = targets.where(k.stated("target_column")).withColumns(
-        {
-            "_own": own, "_chain": F.array().cast(f"array<{ENTRY}>"), "_seen": F.array(k.key_of("sheet", "target_column")),
-            "_t": F.col("source_table"), "_c": F.col("source_column"), "_from": F.col("from_stage"), "_dt": F.col("source_datatype"), "_sz": F.col("source_size"), "_path": F.col("path"),
-        }
-    )
-    names = state.columns
-    for _ in range(steps):
-        here = k.key_of("_t", "_c")
-        on = (F.col("e_table") == k.normalize("_t")) & (F.col("e_column") == k.normalize("_c")) & ~F.array_contains("_seen", here)
-        hit = F.col("e_table").isNotNull()
-        met = state.join(e, on, "left")
-        got = lambda new, old: F.when(hit, F.col(new)).otherwise(F.col(old)).alias(old)
-        link = entry(F.col("e_to"), F.col("e_name"), F.col("_c"), F.col("e_dt"), F.col("e_sz"), F.col("e_path"), F.col("e_sources"))
-        made = {
-            "_chain": F.when(hit, F.concat(F.array(link), F.col("_chain"))).otherwise(F.col("_chain")).alias("_chain"),
-            "_seen": F.when(hit, F.concat(F.col("_seen"), F.array(here))).otherwise(F.col("_seen")).alias("_seen"),
-            "_t": got("e_st", "_t"), "_c": got("e_sc", "_c"), "_from": got("e_from", "_from"), "_dt": got("e_sdt", "_dt"), "_sz": got("e_ssz", "_sz"), "_path": got("e_path", "_path"),
-        }
-        state = met.select(*[made.get(n, F.col(n)) for n in names])
-    origin = entry(F.col("_from"), F.col("_t"), F.col("_c"), F.col("_dt"), F.col("_sz"), F.col("_path"))
+    up = paths(step, steps).withColumnRenamed("path", "_up")
+    rows = targets.where(k.stated("target_column")).withColumns({"_t": k.normalize("source_table"), "_c": k.normalize("source_column"), "_key": k.key_of("sheet", "target_column")})
     none = F.array().cast(f"array<{ENTRY}>")
-    lineage = F.concat(F.when(k.stated("_c"), F.array(origin)).otherwise(none), F.col("_chain"), F.array(F.col("_own")))
-    return state.withColumn("lineage", lineage).drop("_own", "_chain", "_seen", "_t", "_c", "_from", "_dt", "_sz", "_path")
+    rows = rows.join(up, (F.col("_t") == F.col("p_table")) & (F.col("_c") == F.col("p_column")), "left")
+    rows = rows.withColumn("_up", F.when(F.col("_up").isNotNull(), _until("_up", F.col("_key"), steps)))
+    last = F.get("_up", F.size("_up") - 1)
+    still = lambda c, own=None: F.when(F.coalesce(F.size("_up"), F.lit(0)) > 0, last[c]).otherwise(F.col(own or c))
+    origin = entry(still("from_stage"), still("source_table"), still("source_column"), still("source_datatype"), still("source_size"), still("path"))
+    # a field is spelled as the row below it spells it
+    named = lambda i: F.when(i == 0, F.col("source_column")).otherwise(F.get("_up", i - 1)["source_column"])
+    chain = F.reverse(F.transform("_up", lambda e, i: entry(e["to_stage"], e["name"], named(i), e["target_datatype"], e["target_size"], e["path"], e["sources"])))
+    own = entry(F.col("to_stage"), k.strip("sheet"), F.col("target_column"), F.col("target_datatype"), F.col("target_size"), F.col("path"), _own_source())
+    lineage = F.concat(F.when(k.stated(still("source_column")), F.array(origin)).otherwise(none), F.coalesce(chain, none), F.array(own))
+    return rows.withColumn("lineage", lineage).drop("_t", "_c", "_key", "_up", "p_table", "p_column")
 
 
 def cloud_index(cloud: DataFrame) -> DataFrame:
-    """The first final-stage row of each field. cloud: (sheet_ord, ord, sheet_key, table, column, ...)."""
+    """The first final-stage row of each field. cloud: (path, sheet_ord, ord, sheet_key, table, column, ...)."""
     rows = cloud.withColumns({"table_key": k.normalize(F.coalesce(F.nullif(F.col("table"), F.lit("")), F.col("sheet_key"))), "column_key": k.normalize("column")}).where("column_key <> ''")
     first = Window.partitionBy("table_key", "column_key").orderBy("sheet_ord", "ord")
     return rows.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r", "sheet_ord", "ord", "sheet_key")
@@ -127,7 +158,7 @@ def cloud_lookup(fields: DataFrame, index: DataFrame, prefixes: list[str]) -> Da
 def with_cloud(records: DataFrame, index: DataFrame, stage: str, prefixes: list[str]) -> DataFrame:
     """Appends the final-stage entry where the index knows the target."""
     rows = cloud_lookup(records.withColumns({"table": F.col("sheet"), "column": F.col("target_column")}), index, prefixes)
-    last = entry(F.lit(stage), F.col("detail.table"), F.col("detail.column"), F.col("detail.datatype"), F.col("detail.size"), constraint=F.col("detail.nullable"))
+    last = entry(F.lit(stage), F.col("detail.table"), F.col("detail.column"), F.col("detail.datatype"), F.col("detail.size"), F.col("detail.path"), constraint=F.col("detail.nullable"))
     lineage = F.when(F.col("detail").isNotNull(), F.concat("lineage", F.array(last))).otherwise(F.col("lineage"))
     return rows.withColumns({"lineage": lineage, "description": F.col("detail.description")}).drop("detail", "table", "column")
 
@@ -182,22 +213,50 @@ def _at_stage(stage: str):
     return lambda e: e["stage"] == stage
 
 
-def wide_row(stages: list[str], lineage: str = "lineage") -> list[Column]:
-    """Five columns a stage, of its last entry."""
+def _last(stage: str, lineage: str) -> Column:
+    return F.try_element_at(F.filter(lineage, _at_stage(stage)), F.lit(-1))
+
+
+def wide_row(stages: list[str], lineage: str = "lineage", description: str = "description") -> list[Column]:
+    """Five columns a stage, of its last entry, and four of the whole record; null where there is nothing."""
     out = []
     for s in stages:
-        e = F.try_element_at(F.filter(lineage, _at_stage(s)), F.lit(-1))
-        out += [F.coalesce(e[f], F.lit("")).alias(f"{s}_{f}") for f in ("table", "column")]
-        out += [F.coalesce(k.short_path(e["offline_path"]), F.lit("")).alias(f"{s}_path")]
-        out += [F.coalesce(e[f], F.lit("")).alias(f"{s}_{f}") for f in ("datatype", "size")]
-    return out
+        e = _last(s, lineage)
+        out += [e["table"].alias(f"{s}_table"), e["column"].alias(f"{s}_column"), k.short_path(e["offline_path"]).alias(f"{s}_path"), e["datatype"].alias(f"{s}_datatype"), e["size"].alias(f"{s}_size")]
+    t = tail(lineage, description)
+    return out + [t[c].alias(c) for c in ("description", "type", "rule", "dependencies")]
 
 
-def tail(lineage: str = "lineage") -> Column:
-    """struct<type, rule, dependencies> of the last entry with sources."""
+def flat_row(stages: list[str], lineage: str = "lineage", description: str = "description") -> list[Column]:
+    """The cells that a record is scored by: five a stage, the description and the last stated logic; '' where there is nothing."""
+    out = []
+    for s in stages:
+        e = _last(s, lineage)
+        out += [k.clean(e["offline_path" if f == "path" else f]).alias(f"{s}_{f}") for f in FIELDS]
+    logic = F.flatten(F.transform(lineage, lambda e: F.transform(e["sources"], lambda x: x["transformation_logic"])))
+    stated = F.filter(logic, lambda x: F.coalesce(k.strip(x) != "", F.lit(False)))
+    return [*out, k.clean(description).alias("description"), k.clean(F.try_element_at(stated, F.lit(-1))).alias("logic")]
+
+
+def tail(lineage: str = "lineage", description: str = "description") -> Column:
+    """struct<description, type, rule, dependencies> of a record; the last three of the last entry with sources."""
     last = F.try_element_at(F.filter(lineage, lambda e: F.size(e["sources"]) > 0), F.lit(-1))
     own = F.get(last["sources"], F.lit(0))
-    return F.struct(own["transformation_type"].alias("type"), own["transformation_logic"].alias("rule"), k.dependency_tokens(own["transformation_logic"], own["table"]).alias("dependencies"))
+    logic, deps = own["transformation_logic"], k.dependency_tokens(own["transformation_logic"], own["table"])
+    return F.struct(F.col(description).alias("description"), own["transformation_type"].alias("type"), F.nullif(logic, F.lit("")).alias("rule"), F.nullif(deps, F.lit("")).alias("dependencies"))
+
+
+def view_wide_row(lineage: str = "lineage", resolved: str = "resolved_source") -> list[Column]:
+    """The eleven columns of a view record, null where there is nothing."""
+    view = _last("view", lineage)
+    own = F.get(view["sources"], F.lit(0))
+    r = F.col(resolved)
+    named = {"source_schema": own["schema"], "source_table": own["table"], "source_column": own["column"], "view_name": view["table"], "view_column": view["column"], "role": own["role"], "transformation": own["transformation_logic"]}
+    named["path"] = F.nullif(k.basename(F.rtrim(view["offline_path"], F.lit("/"))), F.lit(""))
+    named["alias"] = own["alias"]
+    named["ultimate"] = F.when(k.stated(r["column"]), k.format_key(r["table"], r["column"]))
+    named["via"] = F.nullif(F.array_join(r["via"], " -> "), F.lit(""))
+    return [c.alias(n) for n, c in named.items()]
 
 
 def stages_in(records: DataFrame) -> DataFrame:
@@ -208,17 +267,24 @@ def stages_in(records: DataFrame) -> DataFrame:
 
 
 def coverage(records: DataFrame, stages: list[str]) -> DataFrame:
-    """One row of counts and rendered ratios over lineage records (lineage, description)."""
+    """One row of counts and rendered ratios over lineage records (lineage, description).
+
+    A null stands for what a report leaves out: all but ``records`` if there are
+    none, and the datatypes of a stage whose last entries state none.
+    """
     has = lambda s: F.exists("lineage", lambda e: e["stage"] == s)
-    typed = lambda s: F.exists("lineage", lambda e: (e["stage"] == s) & k.stated(e["datatype"]))
     logic = F.exists("lineage", lambda e: F.exists(e["sources"], lambda x: k.stated(x["transformation_logic"])))
     full = F.lit(True)
     for s in stages:
         full = full & has(s)
-    parts = {"complete_chains": full, "with_description": k.stated("description"), "with_transformation_logic": logic} | {f"stage_{s}": has(s) for s in stages} | {f"datatype_{s}": typed(s) for s in stages}
+    typed = {f"datatype_{s}": k.stated(_last(s, "lineage")["datatype"]) for s in stages}
+    parts = {"complete_chains": full, "with_description": k.stated("description"), "with_transformation_logic": logic} | {f"stage_{s}": has(s) for s in stages} | typed
     per_key = records.groupBy(target_key().alias("key")).agg(F.count("*").alias("n"), *[F.count_if(v).alias(n) for n, v in parts.items()])
-    total = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count_if(F.col("key").isNotNull()).alias("distinct_target_fields"), F.count_if(F.col("key").isNotNull() & (F.col("n") > 1)).alias("n_to_1_target_fields"), *[F.sum(n).alias(n) for n in parts])
-    return total.select("records", "distinct_target_fields", "n_to_1_target_fields", *[k.ratio(F.col(n), F.col("records")).alias(n) for n in parts])
+    some = lambda c: F.when(F.sum("n") > 0, c)
+    known = F.col("key").isNotNull()
+    total = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), some(F.count_if(known)).alias("distinct_target_fields"), some(F.count_if(known & (F.col("n") > 1))).alias("n_to_1_target_fields"), *[F.sum(n).alias(n) for n in parts])
+    shown = [F.when((F.col(n) > 0) if n in typed else F.lit(True), k.ratio(F.col(n), F.col("records"))).alias(n) for n in parts]
+    return total.select("records", "distinct_target_fields", "n_to_1_target_fields", *shown)
 
 
 def diagnostics(records: DataFrame, stages: list[str], shown: int = 5) -> DataFrame:
