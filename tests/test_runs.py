@@ -164,7 +164,7 @@ UPPER = "create view w (c) as select A from V"
 
 def recorded():
     row = lambda t, c, st_, sc, **more: {"target_table": t, "target_column": c, "source_schema": None, "source_table": st_, "source_column": sc, "source_alias": None, "source_role": None, "transformation_logic": "direct"} | more
-    v = [row("V", "A", "BASE", "a", source_alias="x"), row("V", "B", "BASE", "b", source_role="wrong"), row("V", "C", None, None)]
+    v = [row("V", "A", "BASE", "a", source_alias="x"), row("V", "B", "BASE", "b", source_role="wrong"), row("V", "ZQ", None, None)]
     return ex.Recorded({ex.text_key("view_sql", VIEW): f"```json\n{json.dumps(v)}\n```", ex.text_key("view_sql", UPPER): json.dumps([row("w", "c", "v", "a")])})
 
 
@@ -175,10 +175,10 @@ def test_views(spark, tmp_path):
     result = runs.views(spark, str(tmp_path / "sql"), st.ExtractionStore(spark, str(tmp_path / "kept"), recorded()))
     assert result.targets == ["v.sql", "w.sql"]
     got = [(r.lineage[-1].column, len(r.lineage), r.resolved_source and (r.resolved_source.table, r.resolved_source.column, r.resolved_source.via)) for r in result.records.orderBy("rec_id").collect()]
-    assert got == [("A", 2, None), ("B", 2, None), ("C", 1, None), ("c", 2, ("BASE", "a", ["V.A"]))]
+    assert got == [("A", 2, None), ("B", 2, None), ("ZQ", 1, None), ("c", 2, ("BASE", "a", ["V.A"]))]
     by = {r.path.rpartition("/")[2]: r for r in result.reports.collect()}
     assert "expected 2 target fields, got 3 from 3 records" in by["v.sql"].errors and "record 1: role source_role" in by["v.sql"].errors
-    assert any("'C' is not in the source" in e for e in by["v.sql"].errors) and by["w.sql"].metrics.fields_covered == "1/unknown"
+    assert any("'ZQ' is not in the source" in e for e in by["v.sql"].errors) and by["w.sql"].metrics.fields_covered == "1/unknown"
     report = cli.summary(result)
     assert report["views_chained_to_origin"] == 1 and report["mode"] == "sql" and all(p.startswith("v.sql: ") for p in report["source_errors"])
     cli.print_summary(report)
@@ -203,7 +203,7 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert cli.build(spark, args("--archive", root, "--cache", str(tmp_path / "kept"))) == 0
     report = json.load(open("report.json", encoding="utf-8"))
     assert report["targets"] == ["DWH_PARTY"] and report["files_read"] == 3 and report["coverage"]["complete_chains"] == "2/2 (100%)" and report["source_errors"] == []
-    assert cli.compare(spark, cli.parse_args(["compare", "output.xlsx", "output.json"])) == 0
+    assert cli.compare(spark, cli.parse_args(["compare", str(tmp_path / "output.xlsx"), str(tmp_path / "output.json")])) == 0
     assert json.load(open("compare.json", encoding="utf-8"))["matched_rows"] == 2
     assert cli.build(spark, args()) == 1 and cli.build(spark, args("--archive", root, "--table", "NO")) == 1 and cli.build(spark, args("--sql", str(tmp_path / "none"))) == 1
 
@@ -222,7 +222,7 @@ def test_kinds_and_extractors(spark):
     assert asked.records("hop_spec", "hop\tx") == []
     df = spark.createDataFrame([("k1", "hop_spec", "hop\tx"), ("k2", "hop_spec", "y"), ("k3", "none", "y")], "content_key string, kind string, text string")
     got = {r.content_key: r for r in ex.converted(df, asked).collect()}
-    assert got["k1"].records == "[]" and got["k1"].error is None and "JSONDecodeError" in got["k2"].error and "KeyError" in got["k3"].error
+    assert got["k1"].records == "[]" and got["k1"].error is None and "JSONDecodeError" in got["k2"].error and "KindError" in got["k3"].error
     for tasks in ({}, kinds.KINDS | {"more": "x"}, {k: "" for k in kinds.KINDS}):
         with pytest.raises(kinds.KindError):
             ex.Asked(lambda p: p, tasks)

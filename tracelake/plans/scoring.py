@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,14 +49,14 @@ def manual_archive(spark: SparkSession, path: str, stages: list[str], warehouse:
     return _keyed(cells, (f"{warehouse}_table", f"{warehouse}_column"), (f"{staging}_table", f"{staging}_column"), ["line"]).drop("line")
 
 
-def _caption(x: str) -> str:
-    return x.strip().lower().lstrip("s")
+def _caption(x: str | None) -> str:
+    return unicodedata.normalize("NFC", x or "").strip().lower().lstrip("s")
 
 
 def manual_views(spark: SparkSession, path: str) -> DataFrame:
     """The same of a truth sheet of views, whose first line has the captions in any order; rows without a view column are skipped."""
     rows = wb.sheet_rows(spark, path, "*").where("sheet_ord = 0 and ord is not null")
-    head = rows.orderBy("ord").select(F.transform("cells", k.clean).alias("cells")).first()
+    head = rows.orderBy("ord").select("cells").first()
     have = [_caption(c) for c in head.cells] if head else []
     at = {f: have.index(_caption(c)) for f, c in VIEW_CAPTIONS.items() if _caption(c) in have}
     cells = rows.where("ord > 0").select("ord", *[(k.clean(F.get("cells", F.lit(at[f]))) if f in at else F.lit("")).alias(f) for f in VIEW_CAPTIONS]).where("view_column <> ''")
@@ -101,6 +103,7 @@ def report(manual: DataFrame, produced: DataFrame, columns: list[str], equal, ex
     arrow = F.concat(_shown("target"), F.lit(" <- "), _shown("source")).alias("row")
     only = [r.row for r in checks.unmatched(both, KEY).select(arrow).collect()]
     differ = [r.asDict() for r in checks.mismatches(both, columns, KEY, equal, shown=excerpt).select(arrow, "column", "manual", "program").collect()]
+    both.unpersist()
     return {
         "manual_rows": counts.m, "program_rows": counts.p, "matched_rows": counts.both, "rows_only_in_manual": only, "rows_only_in_program": counts.p - counts.both,
         "overall_field_accuracy": share("(all)") if by.get("(all)") and by["(all)"].compared else "n/a", "by_column": {c: share(c) for c in columns if c in by}, "mismatches": differ,
@@ -109,7 +112,7 @@ def report(manual: DataFrame, produced: DataFrame, columns: list[str], equal, ex
 
 def compare(spark: SparkSession, manual: str, made: str) -> dict:
     """An archive dictionary against its truth sheet; the stages are those of the dictionary."""
-    records = output(spark, made).cache()
+    records = output(spark, made)
     stages = [r.stage for r in ln.stages_in(records).orderBy("place").collect()]  # a row a stage
     return report(manual_archive(spark, manual, stages), produced_archive(records, stages), archive_columns(stages), checks.equal_archive)
 
