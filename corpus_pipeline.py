@@ -25,25 +25,37 @@ def _with_text(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the learned rules keep. The rules are fitted on the labelled rows of what comes in."""
+    """Documents that the learned rules keep. The rules are fitted on the labelled rows of what comes in.
+
+    A null or blank text fails the base rules. Rows of an id stay if any row of it does
+    well; rows with a null id go. Without rows, or labels, the base rules alone hold.
+    """
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
     kept = quality_rules.judge(docs, rules).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines, of any length but blank ones, that an earlier document or line has within one edit; documents that nothing is left of go."""
-    return _with_text(docs, line_dedup.line_dedup(docs, min_chars=1, near_chars=1))
+    """Texts without lines, of any length but blank ones, that an earlier document or line has within one edit; documents that nothing is left of go.
+
+    Null texts are empty. Of rows that share an id one stays, with the smallest text
+    that is not blank and the smallest lang and source; rows with a null id go.
+    """
+    return _with_text(docs, line_dedup.line_dedup(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group that 5-word shingles link at 0.8."""
+    """One document, the one with the smallest id, of each group that 5-word shingles link at 0.8.
+
+    A document without words is a group of its own. Rows that share an id stand for
+    one document, by the smallest text that is not blank; all of its rows stay.
+    """
     groups = jaccard_join.jaccard_components(docs, 80, 5)
     return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without bytes that a string of 100 bytes found earlier covers."""
+    """Texts without bytes that a string of 100 bytes found earlier covers; documents that nothing is left of go. Ids and nulls as for lines."""
     return _with_text(docs, suffix_dedup.suffix_dedup(docs))
 
 
