@@ -18,6 +18,7 @@ from tracelake.sources import extractors as ex
 from tracelake.sources import kinds
 from tracelake.sources import layout as lay
 from tracelake.sources import workbooks as wb
+from tracelake.streaming.arrivals import convert_arrivals
 
 COLUMNS = [("PARTY_ID", "VARCHAR2", "20"), ("OPEN_DT", "DATE", "8")]
 HOPS = [("SRC_STG", "STG_PARTY", "RAW_PARTY"), ("STG_DWH", "DWH_PARTY", "STG_PARTY")]
@@ -259,3 +260,14 @@ def test_dates(spark, tmp_path):
         for n, c in parts.items():
             z.writestr(n, c)
     assert wb.sheet_rows(spark, str(path), "*").where(F.col("ord") == 1).first().cells == ["45292", "2024-01-01 12:00:00", "1.5"]
+
+
+def test_arrivals(spark, tmp_path):
+    """What came by a stream is not converted again by a run, nor by the stream."""
+    (tmp_path / "sql").mkdir()
+    (tmp_path / "sql" / "v.sql").write_text(VIEW)
+    store = st.ExtractionStore(spark, str(tmp_path / "kept"), recorded())
+    for _ in range(2):
+        convert_arrivals(spark, str(tmp_path / "sql"), "view_sql", store, str(tmp_path / "seen"), once=True).awaitTermination()
+    result = runs.views(spark, str(tmp_path / "sql"), store)
+    assert [r.cached for r in result.reports.collect()] == [True] and result.records.count() == 3

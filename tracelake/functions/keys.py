@@ -138,32 +138,10 @@ def _composed():
     return composed
 
 
-def view_key(view: Column | str, column: Column | str, table: Column | str, source: Column | str) -> Column:
-    """What rows of view lineage are matched on: the view's field and its source."""
-    return F.struct(key_of(view, column).alias("field"), key_of(table, source).alias("source"))
-
-
 def excerpt(x: Column | str, n: int = 60) -> Column:
     return F.substring(_c(x), 1, n)
 
 
-def failure(kind: Column | str, message: Column | str, n: int = 200) -> Column:
-    """How a failed conversion is reported."""
-    return F.concat(F.lit("extraction failed - "), _c(kind), F.lit(": "), F.substring(_c(message), 1, n))
-
-
-def unfenced(reply: Column | str) -> Column:
-    """The JSON of a reply that may stand in a code fence."""
-    text = strip(reply)
-    inner = strip(F.regexp_replace(F.regexp_replace(text, "^`+|`+$", ""), "^json", ""))
-    return F.when(F.startswith(text, F.lit("```")), inner).otherwise(text)
-
-
-def no_nan(x: Column | str) -> Column:
-    """Null where a number is not one."""
-    return F.when(F.isnan(_c(x)), F.lit(None)).otherwise(_c(x))
-
-
 def _matches(cells: Column, group: list[str]):
     return lambda i: _any(F.get(cells, i), group)
 

@@ -87,7 +87,7 @@ _LINK = ("to_stage", "from_stage", "name", "path", "target_datatype", "target_si
 
 
 def paths(step: DataFrame, steps: int = WALK_STEPS) -> DataFrame:
-    """(p_table, p_column, path): the fields upstream of each owned field, itself first, cut after ``steps`` or before a field comes again.
+    """(p_table, p_column, path, keys): the fields upstream of each owned field, itself first, cut after ``steps`` or before a field comes again; keys: theirs alone.
 
     step: unique edges. Paths double: what lies 1, 2, 4 ... fields up is appended by
     a left join of the paths so far with themselves, so 7 steps take three joins,
@@ -103,15 +103,13 @@ def paths(step: DataFrame, steps: int = WALK_STEPS) -> DataFrame:
         got = lambda new, old: F.when(hit, F.col(new)).otherwise(F.col(old)).alias(old)
         rows = rows.join(on, ["n_table", "n_column"], "left").select("p_table", "p_column", F.when(hit, F.concat("path", "more")).otherwise(F.col("path")).alias("path"), got("m_table", "n_table"), got("m_column", "n_column"))
         have *= 2
-    return rows.select("p_table", "p_column", _until("path", F.lit(None).cast("string"), steps).alias("path"))
-
-
-def _until(path: str, own: Column, steps: int) -> Column:
-    """The part of a path before a key that is ``own`` or came before, of at most ``steps``."""
-    keys = F.transform(path, lambda e: e["key"])
-    bad = lambda i: F.coalesce(F.get(keys, i) == own, F.lit(False)) | F.array_contains(F.slice(keys, 1, i), F.get(keys, i))
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(keys) - 1, F.lit(0))), bad)
-    return F.slice(path, 1, F.least(F.coalesce(F.array_min(at), F.size(keys)), F.lit(steps)).cast("int"))
+    # up to the first field that came before
+    keys = F.transform("path", lambda e: e["key"])
+    again = lambda i: F.array_contains(F.slice("keys", 1, i), F.get("keys", i))
+    rows = rows.withColumn("keys", keys)
+    at = F.array_min(F.filter(F.sequence(F.lit(0), F.size("keys") - 1), again))
+    rows = rows.withColumn("n", F.least(F.coalesce(at, F.size("keys")), F.lit(steps)).cast("int"))
+    return rows.select("p_table", "p_column", F.slice("path", 1, F.col("n")).alias("path"), F.slice("keys", 1, F.col("n")).alias("keys"))
 
 
 def walk(targets: DataFrame, step: DataFrame, steps: int = WALK_STEPS) -> DataFrame:
@@ -121,11 +119,12 @@ def walk(targets: DataFrame, step: DataFrame, steps: int = WALK_STEPS) -> DataFr
     join on unique fields, so targets keep their number. The path ends where the row's
     own field comes up; what is still pointed at there is the origin.
     """
-    up = paths(step, steps).withColumnRenamed("path", "_up")
+    up = paths(step, steps).withColumnsRenamed({"path": "_up", "keys": "_keys"})
     rows = targets.where(k.stated("target_column")).withColumns({"_t": k.normalize("source_table"), "_c": k.normalize("source_column"), "_key": k.key_of("sheet", "target_column")})
     none = F.array().cast(f"array<{ENTRY}>")
     rows = rows.join(up, (F.col("_t") == F.col("p_table")) & (F.col("_c") == F.col("p_column")), "left")
-    rows = rows.withColumn("_up", F.when(F.col("_up").isNotNull(), _until("_up", F.col("_key"), steps)))
+    met = F.array_position("_keys", F.col("_key")).cast("int")
+    rows = rows.withColumn("_up", F.when(met > 0, F.slice("_up", 1, met - 1)).otherwise(F.col("_up")))
     last = F.get("_up", F.size("_up") - 1)
     still = lambda c, own=None: F.when(F.coalesce(F.size("_up"), F.lit(0)) > 0, last[c]).otherwise(F.col(own or c))
     origin = entry(still("from_stage"), still("source_table"), still("source_column"), still("source_datatype"), still("source_size"), still("path"))
@@ -134,7 +133,7 @@ def walk(targets: DataFrame, step: DataFrame, steps: int = WALK_STEPS) -> DataFr
     chain = F.reverse(F.transform("_up", lambda e, i: entry(e["to_stage"], e["name"], named(i), e["target_datatype"], e["target_size"], e["path"], e["sources"])))
     own = entry(F.col("to_stage"), k.strip("sheet"), F.col("target_column"), F.col("target_datatype"), F.col("target_size"), F.col("path"), _own_source())
     lineage = F.concat(F.when(k.stated(still("source_column")), F.array(origin)).otherwise(none), F.coalesce(chain, none), F.array(own))
-    return rows.withColumn("lineage", lineage).drop("_t", "_c", "_key", "_up", "p_table", "p_column")
+    return rows.withColumn("lineage", lineage).drop("_t", "_c", "_key", "_keys", "_up", "p_table", "p_column")
 
 
 def cloud_index(cloud: DataFrame) -> DataFrame:

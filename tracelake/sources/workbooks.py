@@ -150,8 +150,13 @@ def sheet_rows(spark: SparkSession, paths: str | list[str], glob: str = "*.xlsx"
     files = found[0]
     for f in found[1:]:
         files = files.unionByName(f)
-    files = files.where(~F.startswith(F.substring_index("path", "/", -1), F.lit("~$")))
-    return files.select("path", "content").mapInPandas(_read, ROWS)
+    return file_rows(files)
+
+
+def file_rows(files: DataFrame) -> DataFrame:
+    """The same of files as they are read: (path, content, ...)."""
+    own = files.where(~F.startswith(F.substring_index("path", "/", -1), F.lit("~$")))
+    return own.select("path", "content").mapInPandas(_read, ROWS)
 
 
 def final_workbook(spark: SparkSession, archive: str, layout: Layout) -> str | None:
@@ -191,10 +196,15 @@ def sheet_text(rows: DataFrame) -> DataFrame:
 
 
 def sql_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, digest, text) of the ``*.sql`` files in a folder, or of one file; bytes that are no UTF-8 are left out. FileNotFoundError if there are none."""
+    """(path, digest, text) of the ``*.sql`` files in a folder, or of one file; FileNotFoundError if there are none."""
     files = _files(spark, path, pathGlobFilter="*.sql")
     if files is None or files.select("path").isEmpty():
         raise FileNotFoundError(f"no .sql files under {path}")
+    return script_texts(files)
+
+
+def script_texts(files: DataFrame) -> DataFrame:
+    """(path, digest, text) of binary files; bytes that are no UTF-8 are left out."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -1 +1 @@
-
+"""Documents converted as they arrive."""
