@@ -1,5 +1,6 @@
 import re
 
+import duckdb
 import pytest
 
 from tracelake.llm import jaccard_join
@@ -69,6 +70,15 @@ def test_real_rows(spark):
     assert found(df) == brute({r.doc_id: r.text or "" for r in df.collect()}, 90, 3)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_oracle(sf):
+    """The SQL, which Spark's rows are held against, against plain sets."""
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '/root/testdata/{sf}/documents.parquet'")
+    texts = dict(con.sql("select doc_id, coalesce(text, '') from documents").fetchall())
+    assert {i: (n, c) for i, n, c in con.sql(jaccard_join.ORACLE_SQL).fetchall()} == brute(texts, 90, 3)
+
+
 def test_no_rows(none):
     assert found(none) == {}
     with pytest.raises(ValueError):

@@ -294,8 +294,8 @@ shingles AS (
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
 links AS (SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)),
-both AS (SELECT x AS a, y AS b FROM links UNION SELECT y, x FROM links),
-reach AS (SELECT a, b FROM both UNION SELECT r.a, e.b FROM reach r JOIN both e ON e.a = r.b),
+ways AS (SELECT x AS a, y AS b FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT a, b FROM ways UNION SELECT r.a, e.b FROM reach r JOIN ways e ON e.a = r.b),
 least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id))::BIGINT AS component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_of l ON l.a = d.doc_id
