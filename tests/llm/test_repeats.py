@@ -3,9 +3,12 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import pytest
 
+from tracelake.llm.substring_dedup import ORACLE_SQL as substring_dedup_sql
 from tracelake.llm.substring_dedup import substring_dedup
+from tracelake.llm.suffix_dedup import ORACLE_SQL as suffix_dedup_sql
 from tracelake.llm.suffix_dedup import suffix_dedup
 
 
@@ -85,3 +88,12 @@ def test_awkward_tables(docs, texts, none, spark):
         assert sorted(map(tuple, f(twice).collect())) == sorted(map(tuple, f(docs).collect()))
     for r in suffix_dedup(docs).collect():
         assert r.n_removed or r.kept == texts[r.doc_id]
+
+
+def test_oracles():
+    """The SQL that Spark's rows are held against, against plain Python."""
+    con = duckdb.connect()
+    con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    texts = dict(con.sql("select doc_id, coalesce(text, '') from documents").fetchall())
+    assert {r[0]: r[1:] for r in con.sql(suffix_dedup_sql).fetchall()} == brute_bytes(texts, 100)
+    assert {r[0]: r[1:] for r in con.sql(substring_dedup_sql).fetchall()} == brute_words(texts, 35)

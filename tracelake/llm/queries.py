@@ -52,4 +52,4 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op3_token_counts, op4_line_dedup, op5_substring_dedup, op6_byte_bpe, op7_quality_rules, op8_jaccard_join, op9_packing, op10_html_text)}
-ORACLE: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE_SQL, "op8_jaccard_join": jaccard_join.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.ORACLE_SQL, "op4_line_dedup": line_dedup.ORACLE_SQL, "op5_substring_dedup": substring_dedup.ORACLE_SQL, "op8_jaccard_join": jaccard_join.ORACLE_SQL}

@@ -133,3 +133,17 @@ def substring_dedup(docs: DataFrame, size: int = 35, id_col: str = "doc_id", tex
 
 def query(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE_SQL = r"""
+WITH split AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM split)),
+again AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+starts AS (SELECT doc_id, i FROM windows WHERE s IN (SELECT s FROM again)),
+every AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM split),
+marked AS (
+  SELECT e.doc_id, e.j, e.x, max(s.i) OVER (PARTITION BY e.doc_id ORDER BY e.j ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM every e LEFT JOIN starts s ON s.doc_id = e.doc_id AND s.i = e.j),
+per AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n, string_agg(x, ' ' ORDER BY j) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(p.n, 0)::BIGINT AS n_removed, sha256(coalesce(p.kept, '')) AS kept_sha256 FROM split d LEFT JOIN per p ON p.doc_id = d.doc_id
+"""

@@ -110,3 +110,19 @@ def suffix_dedup(docs: DataFrame, size: int = 100, id_col: str = "doc_id", text_
 
 def query(spark, sf_dir):
     return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+ORACLE_SQL = r"""
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT doc_id, i, substring(h, 2 * i - 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 98)) AS i FROM bytes)),
+firsts AS (SELECT s, min({'d': doc_id, 'i': i}) AS f FROM strings GROUP BY s HAVING count(*) > 1),
+starts AS (SELECT doc_id, i FROM strings JOIN firsts USING (s) WHERE {'d': doc_id, 'i': i} > f),
+every AS (SELECT doc_id, substring(h, 2 * j - 1, 2) AS x, j FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 + 1)) AS j FROM bytes)),
+marked AS (
+  SELECT e.doc_id, e.j, e.x, max(s.i) OVER (PARTITION BY e.doc_id ORDER BY e.j ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM every e LEFT JOIN starts s ON s.doc_id = e.doc_id AND s.i = e.j),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS begins FROM marked),
+per AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n, count(*) FILTER (WHERE begins) AS spans, string_agg(x, '' ORDER BY j) FILTER (WHERE NOT gone) AS kept FROM edges GROUP BY doc_id)
+SELECT b.doc_id, (len(b.h) // 2)::BIGINT AS n_bytes, coalesce(p.n, 0)::BIGINT AS n_removed, coalesce(p.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(p.kept, ''))) AS kept_sha256
+FROM bytes b LEFT JOIN per p ON p.doc_id = b.doc_id
+"""
