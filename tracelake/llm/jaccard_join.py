@@ -9,8 +9,9 @@ one of two linked entries of n and m.
    in common with the sample of a partner. Entries whose samples do not meet
    others' that often are out; with l = n * (1 - s) / 2 that is nearly every
    document that merely shares a passage or a line. Only what is left is read whole.
-2. Entries with a minimal hash in common are compared with the first of them, and
-   the links that hold make *groups* of similar entries.
+2. Entries with a minimal hash in common are compared with one of them, the one that
+   has least to itself, and the links that hold make *groups* of similar entries. A
+   second round does the same for the holders of each token that step 3 reads.
 3. The token-group matrix has a row for each token and group cell whose union holds
    it; a large group has several cells. Tokens are taken rarest first, and those of
    one group alone are out of question. Of two linked entries one has its first MARK
@@ -173,16 +174,21 @@ def _merged(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner")
 
 
 def _met(tokens: DataFrame, sizes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(tokens that several entries sample, entries that meet others often enough to link)."""
+    """(tokens that several entries sample, entries that meet others often enough to link, with the share of their tokens that they were met in)."""
     shared = stored(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "shared")
     tokens = stored(_merged(tokens, shared, "token", "left_semi"), "met")
     discard(shared)
     hits = tokens.groupBy("rep").agg(F.count("*").alias("hits"))
     low = _least(F.col("n"), threshold)
-    live = _merged(hits, sizes, "rep").where(F.col("hits") >= F.least(_extra(low, threshold), low)).select("rep", "n")
+    live = _merged(hits, sizes, "rep").where(F.col("hits") >= F.least(_extra(low, threshold), low)).select("rep", "n", (F.col("hits") / F.col("n")).alias("share"))
     return tokens, stored(live, "live")
 
 
+def _grouped(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rep, n, group) of every live entry, its own group where nothing links it."""
+    return _merged(live, labels.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("group"))
+
+
 def jaccard_components(docs: DataFrame, threshold: int = 90, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; threshold in percent.
 
@@ -224,7 +230,7 @@ def jaccard_components(docs: DataFrame, threshold: int = 90, n: int = 3, id_col:
     sampled = stored(reps.select("rep", F.explode("sample").alias("token")), "sampled")
     # 1. twice, as tokens shared with an entry that is out count no more
     first, live = _met(sampled, feats.select(F.col("doc_id").alias("rep"), "n"), threshold)
-    second, live2 = _met(_merged(first, live, "rep", "left_semi"), live, threshold)
+    second, live2 = _met(_merged(first, live, "rep", "left_semi"), live.select("rep", "n"), threshold)
     discard(sampled, first, second, live)
     live = live2
 
@@ -235,32 +241,43 @@ def jaccard_components(docs: DataFrame, threshold: int = 90, n: int = 3, id_col:
     own = _merged(rows, live.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = stored(map_steps(own, whole, "rep long, tokens array<long>"), "live-sets")
     # 2. groups by minimal hashes: every entry against the first with the same hash
-    banded = feats.select(F.col("doc_id").alias("rep"), "n", F.posexplode("bands").alias("band", "key"))
-    banded = _merged(banded, live.select("rep"), "rep", "left_semi")
+    banded = feats.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "key"))
+    banded = _merged(banded, live, "rep")
     banded = stored(banded, "bands")
-    lead = stored(banded.groupBy("band", "key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1").select("band", "key", "lead"), "leads")
+    lead = stored(banded.groupBy("band", "key").agg(F.max(F.struct("share", "rep", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1").select("band", "key", "lead"), "leads")
     fits = 100 * F.least("n", "lead.n") >= threshold * F.greatest("n", "lead.n")
-    stars = _merged(banded, lead, ["band", "key"]).where((F.col("rep") > F.col("lead.rep")) & fits).select("rep", F.col("lead.rep").alias("cell")).distinct()
+    stars = _merged(banded, lead, ["band", "key"]).where((F.col("rep") != F.col("lead.rep")) & fits).select("rep", F.col("lead.rep").alias("cell")).distinct()
     near = _opened(stars, live.select("rep", F.col("rep").alias("cell")), sets, threshold)
     labels = components(near)
     discard(banded, lead)
-    # 3. the matrix over cells of groups
-    grouped = _merged(live, labels.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("group"))
-    grouped = stored(grouped, "grouped")
-    large = stored(grouped.groupBy("group").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("cells"), F.count("*").alias("members")), "large")
-    cells = _merged(grouped, large, "group").select("rep", "n", "group", F.xxhash64("group", F.pmod(F.xxhash64("rep"), F.col("cells"))).alias("cell"))
-    cells = stored(cells, "cells")
-    tokens = _merged(sets, cells, "rep").select("rep", "group", F.explode("tokens").alias("token"))
+    grouped = stored(_grouped(live, labels), "grouped")
+    tokens = _merged(sets, grouped, "rep").select("rep", "group", F.explode("tokens").alias("token"))
     mixed = tokens.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("token", "df")
     mixed = stored(mixed, "mixed")
     ranked = _merged(tokens.select("rep", "token"), mixed, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"))
     # tokens of one group alone stand before these
     own, c = F.col("n") - F.size("by_df"), F.floor(F.col("n") * (100 - threshold) / (100 + threshold)) + MARK
-    columns = F.col("n") - _least(F.col("n"), threshold) + MARK
-    cut = F.slice("by_df", 1, F.greatest(columns - own, F.lit(0)).cast("int"))
-    ranked = _merged(ranked, cells, "rep").select("cell", "group", F.posexplode(cut).alias("pos", "t"), (c - own).alias("first"))
-    matrix = stored(ranked.groupBy(F.col("t.token").alias("token"), "cell", "group").agg(F.max(F.col("pos") < F.col("first")).alias("first")), "matrix")
+    wide = F.col("n") - _least(F.col("n"), threshold) + MARK
+    cut = F.slice("by_df", 1, F.greatest(wide - own, F.lit(0)).cast("int"))
+    columns = _merged(ranked, grouped, "rep").select("rep", "n", "group", (own / F.col("n")).alias("alone"), F.posexplode(cut).alias("pos", "t"), (c - own).alias("c"))
+    columns = stored(columns.select("rep", "n", "group", "alone", F.col("t.token").alias("token"), (F.col("pos") < F.col("c")).alias("first")), "columns")
     discard(mixed)
+    # the second round of groups: every holder of a token against the one that has least to itself
+    front = columns.groupBy("token").agg(F.min(F.struct("alone", "rep", "n", "group", "first")).alias("lead"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token", "lead")
+    front = stored(front, "leads")
+    reach = _merged(columns, front, "token").where((F.col("group") != F.col("lead.group")) & (F.col("first") | F.col("lead.first")) & fits)
+    reach = reach.groupBy("rep", F.col("lead.rep").alias("cell")).agg(F.count("*").alias("hits")).where(F.col("hits") >= MARK).select("rep", "cell")
+    mid = _opened(reach, live.select("rep", F.col("rep").alias("cell")), sets, threshold)
+    near = stored(near.unionByName(mid), "links")
+    discard(front, labels)
+    labels = components(near)
+    # 3. the matrix over cells of groups
+    regrouped = stored(_grouped(live, labels), "grouped")
+    large = stored(regrouped.groupBy("group").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("cells")), "large")
+    cells = _merged(regrouped, large, "group").select("rep", "n", "group", F.xxhash64("group", F.pmod(F.xxhash64("rep"), F.col("cells"))).alias("cell"))
+    cells = stored(cells, "cells")
+    matrix = _merged(columns.select("rep", "token", "first"), cells, "rep").groupBy("token", "cell", "group").agg(F.max("first").alias("first"))
+    matrix = stored(matrix, "matrix")
     other = matrix.select("token", F.col("cell").alias("other"), F.col("group").alias("other_group"))
     pairs = _merged(matrix.where("first"), other, "token").where("group <> other_group")
     pairs = pairs.groupBy("cell", "other").agg(F.count("*").alias("hits")).where(F.col("hits") >= MARK).select("cell", "other")
@@ -272,7 +289,7 @@ def jaccard_components(docs: DataFrame, threshold: int = 90, n: int = 3, id_col:
     asks = turned.join(cells.select(F.col("cell").alias("from"), "rep"), "from").select("rep", "cell")
     far = _opened(asks, cells.select("rep", "cell"), sets, threshold)
     found = components(near.unionByName(far)).select(F.col("id").alias("rep"), "component")
-    discard(matrix, size, cells, large, grouped, labels, sets, live, near, far)
+    discard(matrix, columns, size, cells, large, grouped, regrouped, labels, sets, live, near, mid, far)
     out = _merged(feats.select("doc_id", "n", "set_a", "set_b"), alike, ["set_a", "set_b"], "left")
     out = out.withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     out = _merged(out, found, "rep", "left")
