@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import buffers, steps, stored
+from .common import buffers, discard, steps, stored
 
 _U = np.uint64
 #: Slices of text whose names are merged before the shuffle.
@@ -185,6 +185,7 @@ def repeated_starts(docs: DataFrame, kind: Kind) -> DataFrame:
     whole = F.col("lead") < F.col("doc_id") if earlier else F.col("n") > 1
     found = stored(found.select("doc_id", "a", (F.col("a") + F.col("more")).alias("b"), "lag", whole.alias("whole"), (F.col("open") & (F.col("lead") == F.col("doc_id"))).alias("lead")).where("whole or lead"), "runs")
 
+    discard(counted)
     leads = found.where("lead").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "lag")).alias("spans"))
 
     def compared(batches):
@@ -226,7 +227,8 @@ def repeated_starts(docs: DataFrame, kind: Kind) -> DataFrame:
     named = docs.join(leads, "doc_id").select("doc_id", "text", "spans")
     schema = "x long, y long, doc_id long, a int"
     if kind.step:
-        named = named.mapInArrow(cores, "core long, doc_id long, a int, text binary").withColumn("k", F.count("*").over(Window.partitionBy("core"))).where("k > 1").drop("k")
+        named = named.mapInArrow(cores, "core long, doc_id long, a int, text binary").withColumn("k", F.count("*").over(Window.partitionBy("core"))).where("k > 1").drop("k", "core")
+        named = pieces = stored(named, "steps")  # so that the texts that were shuffled for it can go
         named = named.mapInArrow(opened, "p long, q long, r long, s long, doc_id long, a int")
         # a round: both halves of a window get the name of their pair of quarters, and one that is unique takes the window out
         for half, pair in (("x", ["p", "q"]), ("y", ["r", "s"])):
@@ -239,6 +241,8 @@ def repeated_starts(docs: DataFrame, kind: Kind) -> DataFrame:
     else:
         single = named.withColumn("k", F.count("*").over(pair)).where("k > 1")
     single = stored(single.select("doc_id", "a", F.col("a").alias("b")), "windows")
+    if kind.step:
+        discard(pieces)
     both = found.where("whole").select("doc_id", "a", "b").unionByName(single)
     return both.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
