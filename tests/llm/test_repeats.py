@@ -4,9 +4,13 @@ import re
 from collections import defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from tracelake.llm.common import buffers
 from tracelake.llm.substring_dedup import ORACLE_SQL as substring_dedup_sql
+from tracelake.llm.substring_dedup import _kind as kind_of_words
 from tracelake.llm.substring_dedup import substring_dedup
 from tracelake.llm.suffix_dedup import ORACLE_SQL as suffix_dedup_sql
 from tracelake.llm.suffix_dedup import suffix_dedup
@@ -73,6 +77,20 @@ def test_against_brute_force(spark, texts, seed):
     assert {i: (got[i], want[i]) for i in want if got.get(i) != want[i]} == {} and len(got) == len(want)
 
 
+def test_common_words_open_few_windows():
+    """Texts of common words without repeats: what Spark counts tells them apart, so few windows are left to compare."""
+    rnd = random.Random(3)
+    vocab = [f"w{i}" for i in range(300)]
+    common = rnd.choices(vocab, [1 / (i + 1) for i in range(300)], k=400 * 200)
+    texts = [" ".join(common[i : i + 200]) for i in range(0, len(common), 200)]
+    r = kind_of_words(35).runs(*buffers(pa.array(texts)))
+    windows = r.last - r.first + 1
+    assert windows.sum() == 400 * (200 - 34)
+    _, key, kinds = np.unique(r.key, return_inverse=True, return_counts=True)
+    assert len(np.unique(r.ctx)) == len(r.ctx)
+    assert windows[kinds[key] > 1].sum() < 0.1 * windows.sum()
+
+
 def test_real_rows(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     every = {r.doc_id: r.text for r in df.collect()}

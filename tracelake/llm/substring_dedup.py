@@ -6,8 +6,10 @@ one of the right class, classes being a bit of the name), so that whether two
 neighbours join depends on them and their neighbours alone. A new name is a hash of
 the names it is made of, the same on every executor. After two rounds of pairs a
 symbol has at most 8 words, and two equal windows have the same symbols except within
-8 words of their ends. The least-named of these interior symbols stands for a window:
-Spark counts it over the whole corpus, a window whose symbol is found once is out, and
+8 words of their ends. Most symbols are still a word or two, which common words make
+common too, so a last round names each symbol together with those after it, as far as
+they end within 8 words. The least-named of the interior blocks stands for a window:
+Spark counts it over the whole corpus, a window whose block is found once is out, and
 a repeat is then verified by the names of all its words.
 """
 
@@ -62,6 +64,13 @@ def symbols(sym: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sym, at
 
 
+def blocks(sym: np.ndarray, at: np.ndarray, total: int) -> np.ndarray:
+    """Name of each symbol and those that follow it and end within SYMBOL words of its beginning; total: number of words."""
+    end = np.searchsorted(np.append(at[1:], total), at + SYMBOL, "right")
+    begin = np.arange(len(sym))
+    return Stretches(sym).name(begin, end, np.zeros(len(sym), np.int64))
+
+
 def _kind(size: int) -> Kind:
     def runs(data: np.ndarray, offs: np.ndarray) -> Runs:
         starts, _, first = words.word_spans(data, offs)
@@ -72,8 +81,8 @@ def _kind(size: int) -> Kind:
             return runs_of(z, z, z, z.astype(_U), None, size, first[:-1])
         sym, at = symbols(h, own)
         name = np.full(len(h), _LAST, _U)
-        name[at] = words.mix(sym)
-        # symbols that begin REACH words after a window's start and end, with what their end depends on, in it
+        name[at] = blocks(sym, at, len(h))
+        # blocks that begin REACH words after a window's start and end, with what their end depends on, in it
         best = least_in_window(name, size - 2 * REACH - SYMBOL + 1)
         start = np.arange(len(h) - size + 1)
         anchor = best[start + REACH]
