@@ -41,3 +41,24 @@ def test_tail_and_null_safe_match(spark):
     a = spark.createDataFrame([(None, 1), ("x", 2)], "key string, v int")
     both = checks.matched(a, a, ["key"])
     assert both.where("m is not null and p is not null").count() == 2
+
+
+def test_walk_deals_rows_out(spark):
+    """Fields of few origins, and rows without a source, don't meet in one task."""
+    n = F.lit(None).cast("string")
+    extra = {c: n for c in ("target_datatype", "target_size", "source_datatype", "source_size", "transformation_type", "transformation_logic", "source_role")}
+    rows = [("O", f"o{i}", "C", f"c{i % 40}") for i in range(400)] + [("C", f"c{i}", "R", "r") for i in range(40)]
+    frame = lambda rows: spark.createDataFrame(rows, "sheet string, target_column string, source_table string, source_column string").withColumns({"table_key": F.col("sheet"), "path": F.lit("/a"), "from_stage": F.lit("s0"), "to_stage": F.lit("s1"), "ord": F.lit(0), **extra})
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        step = ln.edges(frame(rows))
+        up = ln.paths(step).select(F.spark_partition_id().alias("task"), F.size("path").alias("n"), "p_table").collect()
+        assert sorted({(r.p_table, r.n) for r in up}) == [("C", 1), ("O", 2)] and len(up) == 440
+        assert len({r.task for r in up if r.p_table == "O"}) > 1
+        targets = frame([("T", f"t{i}", None, None) for i in range(100)] + [("T", "x", "O", "o1")])
+        got = ln.walk(targets, step).select(F.spark_partition_id().alias("task"), F.transform("lineage", lambda e: e["column"]).alias("c")).collect()
+        assert len(got) == 101 and ["r", "c1", "o1", "x"] in [r.c for r in got]
+        assert len({r.task for r in got if len(r.c) == 1}) > 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

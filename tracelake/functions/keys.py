@@ -21,7 +21,9 @@ def _c(x: Column | str) -> Column:
 
 def strip(x: Column | str) -> Column:
     """Without white space, of any alphabet, at either end."""
-    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+    x = _c(x).cast("string")
+    seen = lambda c: F.ascii(c).between(33, 126)  # noqa: E731  no white space; most names need no pattern
+    return F.when(seen(x) & seen(F.substring(x, -1, 1)), x).otherwise(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
 
 
 def normalize(x: Column | str) -> Column:
@@ -40,7 +42,9 @@ def stated(x: Column | str) -> Column:
 
 def key_of(table: Column | str, column: Column | str) -> Column:
     """One string for a field key, in which a null table is not a blank one."""
-    return F.to_json(F.struct(normalize(table).alias("t"), normalize(column).alias("c")), {"ignoreNullFields": "false"})
+    t, c = normalize(table), normalize(column)
+    none = F.lit("-")
+    return F.concat(F.coalesce(c, F.lit("")), F.coalesce(t, F.lit("")), F.lit("|"), F.coalesce(F.length(t).cast("string"), none), F.when(c.isNull(), none).otherwise(F.lit("")))
 
 
 def format_key(table: Column | str, column: Column | str) -> Column:

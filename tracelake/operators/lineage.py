@@ -71,45 +71,73 @@ def final_names(targets: DataFrame, prefixes: list[str]) -> DataFrame:
     return targets.select(F.explode(own).alias("table_key")).where("table_key is not null").distinct()
 
 
+def spread(rows: DataFrame, *by: str, times: int = 1) -> DataFrame:
+    """Rows dealt by columns over ``times`` the set number of shuffle partitions.
+
+    A number that is asked for stays. Otherwise Spark merges partitions by their
+    compressed bytes, and rows of alike paths are many times larger in memory.
+    """
+    return rows.repartition(times * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def edges(owned: DataFrame) -> DataFrame:
     """The first row of each owned field: what a walk steps over. Unique keys, so that no left join fans out."""
-    rows = owned.withColumn("column_key", k.normalize("target_column")).where("column_key <> ''")
-    first = Window.partitionBy("table_key", "column_key").orderBy("ord")
+    rows = spread(owned.withColumn("column_key", k.normalize("target_column")).where("column_key <> ''"), "column_key", "table_key")
+    first = Window.partitionBy("column_key", "table_key").orderBy("ord")
     return rows.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
 
 
-def _own_source(prefix: str = "") -> Column:
-    c = lambda x: F.col(prefix + x)
-    return F.array(source(c("source_table"), c("source_column"), c("transformation_type"), c("transformation_logic"), c("source_role")))
+def _source_of(e) -> Column:
+    return F.array(source(e("source_table"), e("source_column"), e("transformation_type"), e("transformation_logic"), e("source_role")))
 
 
-_LINK = ("to_stage", "from_stage", "name", "path", "target_datatype", "target_size", "source_table", "source_column", "source_datatype", "source_size")
+_LINK = ("to_stage", "from_stage", "name", "path", "target_datatype", "target_size", "source_table", "source_column", "source_datatype", "source_size", "transformation_type", "transformation_logic", "source_role")
+
+
+def _next(own: Column) -> list[Column]:
+    """(n_column, n_table): the stated source's key. What can be no field has no table, so it meets nothing, and is dealt out by ``own``."""
+    t, c = k.normalize("source_table"), k.normalize("source_column")
+    is_key = t.isNotNull() & F.coalesce(c != "", F.lit(False))
+    return [F.when(is_key, c).otherwise(own).alias("n_column"), F.when(is_key, t).alias("n_table")]
 
 
 def paths(step: DataFrame, steps: int = WALK_STEPS) -> DataFrame:
-    """(p_table, p_column, path, keys): the fields upstream of each owned field, itself first, cut after ``steps`` or before a field comes again; keys: theirs alone.
+    """(p_table, p_column, path): the fields upstream of each owned field, itself first, cut after ``steps`` or before a field comes again.
 
-    step: unique edges. Paths double: what lies 1, 2, 4 ... fields up is appended by
-    a left join of the paths so far with themselves, so 7 steps take three joins,
-    over fields and not over the rows that will ask for them.
+    step: unique edges. Only fields that others state as their source are joined with
+    themselves; their paths double (what lies 1, 2, 4 ... fields up is appended), so 7
+    steps take three joins over those, and every field then takes the path of its source.
+    A field whose source is not owned is not looked up again, so that fields of few
+    origins don't meet at those.
     """
-    link = F.struct(k.key_of("table_key", "column_key").alias("key"), *[F.col(c) for c in _LINK], _own_source().alias("sources"))
+    link = F.struct(k.key_of("table_key", "column_key").alias("key"), *[F.col(c) for c in _LINK])
+    key, own = ["p_column", "p_table"], F.xxhash64("p_column", "p_table").cast("string")
     rows = step.withColumn("name", k.strip("sheet"))
-    rows = rows.select(F.col("table_key").alias("p_table"), F.col("column_key").alias("p_column"), F.array(link).alias("path"), k.normalize("source_table").alias("n_table"), k.normalize("source_column").alias("n_column"))
+    rows = rows.select(F.col("column_key").alias("p_column"), F.col("table_key").alias("p_table"), F.array(link).alias("path"), *_next(F.xxhash64("column_key", "table_key").cast("string")))
+    asked = step.select(k.normalize("source_column").alias("p_column"), k.normalize("source_table").alias("p_table")).distinct()
+    inner = rows.join(asked, key, "left_semi")
+    owned = inner.select(F.col("p_column").alias("n_column"), F.col("p_table").alias("n_table"), F.lit(True).alias("owned"))
+    inner = spread(inner, "n_column", "n_table").join(owned, ["n_column", "n_table"], "left")
+    inner = inner.select(*key, "path", F.when(F.col("owned"), F.col("n_column")).otherwise(own).alias("n_column"), F.when(F.col("owned"), F.col("n_table")).alias("n_table"))
+
+    def stepped(rows: DataFrame) -> DataFrame:
+        on = inner.select(F.col("p_column").alias("n_column"), F.col("p_table").alias("n_table"), F.col("path").alias("more"), F.col("n_column").alias("m_column"), F.col("n_table").alias("m_table"))
+        go = F.col("m_table").isNotNull()
+        got = F.when(F.col("more").isNotNull(), F.concat("path", "more")).otherwise(F.col("path"))
+        rows = spread(rows, "n_column", "n_table").join(on, ["n_column", "n_table"], "left")
+        return rows.select(*key, got.alias("path"), F.when(go, F.col("m_column")).otherwise(own).alias("n_column"), F.when(go, F.col("m_table")).alias("n_table"))
+
     have = 1
-    while have < steps:
-        on = rows.select(F.col("p_table").alias("n_table"), F.col("p_column").alias("n_column"), F.col("path").alias("more"), F.col("n_table").alias("m_table"), F.col("n_column").alias("m_column"))
-        hit = F.col("more").isNotNull()
-        got = lambda new, old: F.when(hit, F.col(new)).otherwise(F.col(old)).alias(old)
-        rows = rows.join(on, ["n_table", "n_column"], "left").select("p_table", "p_column", F.when(hit, F.concat("path", "more")).otherwise(F.col("path")).alias("path"), got("m_table", "n_table"), got("m_column", "n_column"))
-        have *= 2
+    while have < steps - 1:
+        inner, have = stepped(inner), 2 * have
+    rows = stepped(rows) if steps > 1 else rows
     # up to the first field that came before
     keys = F.transform("path", lambda e: e["key"])
     again = lambda i: F.array_contains(F.slice("keys", 1, i), F.get("keys", i))
-    rows = rows.withColumn("keys", keys)
     at = F.array_min(F.filter(F.sequence(F.lit(0), F.size("keys") - 1), again))
-    rows = rows.withColumn("n", F.least(F.coalesce(at, F.size("keys")), F.lit(steps)).cast("int"))
-    return rows.select("p_table", "p_column", F.slice("path", 1, F.col("n")).alias("path"), F.slice("keys", 1, F.col("n")).alias("keys"))
+    at = F.when(F.size(F.array_distinct("keys")) < F.size("keys"), at).otherwise(F.size("keys"))
+    rows = rows.withColumn("keys", keys).withColumn("n", F.least(at, F.lit(steps)).cast("int"))
+    return rows.select(*key, F.slice("path", 1, F.col("n")).alias("path"))
 
 
 def walk(targets: DataFrame, step: DataFrame, steps: int = WALK_STEPS) -> DataFrame:
@@ -119,21 +147,23 @@ def walk(targets: DataFrame, step: DataFrame, steps: int = WALK_STEPS) -> DataFr
     join on unique fields, so targets keep their number. The path ends where the row's
     own field comes up; what is still pointed at there is the origin.
     """
-    up = paths(step, steps).withColumnsRenamed({"path": "_up", "keys": "_keys"})
-    rows = targets.where(k.stated("target_column")).withColumns({"_t": k.normalize("source_table"), "_c": k.normalize("source_column"), "_key": k.key_of("sheet", "target_column")})
+    up = paths(step, steps).withColumnRenamed("path", "_up")
+    rows = targets.where(k.stated("target_column"))
+    own = F.xxhash64("path", "ord", "target_column").cast("string")
+    rows = spread(rows.select("*", *_next(own)), "n_column", "n_table")
     none = F.array().cast(f"array<{ENTRY}>")
-    rows = rows.join(up, (F.col("_t") == F.col("p_table")) & (F.col("_c") == F.col("p_column")), "left")
-    met = F.array_position("_keys", F.col("_key")).cast("int")
+    rows = rows.join(up, (F.col("n_column") == F.col("p_column")) & (F.col("n_table") == F.col("p_table")), "left")
+    met = F.array_position(F.transform("_up", lambda e: e["key"]), k.key_of("sheet", "target_column")).cast("int")
     rows = rows.withColumn("_up", F.when(met > 0, F.slice("_up", 1, met - 1)).otherwise(F.col("_up")))
     last = F.get("_up", F.size("_up") - 1)
     still = lambda c, own=None: F.when(F.coalesce(F.size("_up"), F.lit(0)) > 0, last[c]).otherwise(F.col(own or c))
     origin = entry(still("from_stage"), still("source_table"), still("source_column"), still("source_datatype"), still("source_size"), still("path"))
     # a field is spelled as the row below it spells it
     named = lambda i: F.when(i == 0, F.col("source_column")).otherwise(F.get("_up", i - 1)["source_column"])
-    chain = F.reverse(F.transform("_up", lambda e, i: entry(e["to_stage"], e["name"], named(i), e["target_datatype"], e["target_size"], e["path"], e["sources"])))
-    own = entry(F.col("to_stage"), k.strip("sheet"), F.col("target_column"), F.col("target_datatype"), F.col("target_size"), F.col("path"), _own_source())
+    chain = F.reverse(F.transform("_up", lambda e, i: entry(e["to_stage"], e["name"], named(i), e["target_datatype"], e["target_size"], e["path"], _source_of(lambda c: e[c]))))
+    own = entry(F.col("to_stage"), k.strip("sheet"), F.col("target_column"), F.col("target_datatype"), F.col("target_size"), F.col("path"), _source_of(F.col))
     lineage = F.concat(F.when(k.stated(still("source_column")), F.array(origin)).otherwise(none), F.coalesce(chain, none), F.array(own))
-    return rows.withColumn("lineage", lineage).drop("_t", "_c", "_key", "_keys", "_up", "p_table", "p_column")
+    return rows.withColumn("lineage", lineage).drop("_up", "p_table", "p_column", "n_table", "n_column")
 
 
 def cloud_index(cloud: DataFrame) -> DataFrame:
