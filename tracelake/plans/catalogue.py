@@ -514,7 +514,7 @@ def wide_row_pivot(spark, d):
     """All columns, with a stage that no record has."""
     records = fk_records(spark, d).withColumn("description", F.when(F.col("target_column") == "1", F.lit("first")))
     wide = records.select(*ln.wide_row(["region", "nation", "customer", "orders", "lineitem", "part"]))
-    return wide.groupBy(*wide.columns).agg(F.count("*").alias("n"))
+    return ln.spread(wide, "lineitem_column", "orders_column", times=4).groupBy(*wide.columns).agg(F.count("*").alias("n"))
 
 
 @query(f"""
