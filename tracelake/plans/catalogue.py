@@ -91,7 +91,10 @@ def lineage_fan_in(spark, d):
     item = _t(spark, d, "lineitem").withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber"))
     rows = _hops(*[_fk(item, "LINEITEM", "k", "LINEITEM", c, s) for c, s in (("l_orderkey", "ORDERS"), ("l_partkey", "PART"), ("l_suppkey", "SUPPLIER"))])
     walked = ln.walk(rows, _fk_edges(spark, d)).select("source_table", F.col("target_column").alias("k"), _names().alias("chain"))
-    return walked.groupBy("source_table").agg(F.count("*").alias("records"), F.count_distinct("k").alias("fields"), F.count_distinct("chain").alias("chains"), F.min("chain").alias("first"), F.max("chain").alias("last"))
+    # a chain ends with its own field, and keys hold no ">": a chain belongs to one field, so chains are counted field by field, and one sort serves all
+    field = ["source_table", "k"]
+    fields = ln.spread(walked, *field).groupBy(*field).agg(F.count("*").alias("n"), F.count_distinct("chain").alias("m"), F.min("chain").alias("first"), F.max("chain").alias("last"))
+    return fields.groupBy("source_table").agg(F.sum("n").alias("records"), F.count("*").alias("fields"), F.sum("m").alias("chains"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 def _event_steps(spark, d) -> DataFrame:
